@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 from .formatting import copies, records
 from .mixture import mix
+from .mojibake import spoiled_rows
 from .tokens import encode_texts
 
 _P1 = {"row_id": "match_id", "same": ["entry_type", "matched_id", "id_source"], "texts": ["betroffene_anlage", "matched_name"]}
@@ -22,6 +23,21 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(table(spark, sf_dir, "matches_exact"), **_P1)
 
 
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, exact = table(spark, sf_dir, "build_data"), table(spark, sf_dir, "matches_exact")
+    return spoiled_rows([("build_data", calls, "row_id", "richtung"), ("matches_exact", exact, "match_id", "betroffene_anlage")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose direction or plant name is spoiled by a wrong encoding."""
+    return _p4(spark, sf_dir).select("table_name", "rec_id")
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows with the text as it most likely was."""
+    return _p4(spark, sf_dir)
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -53,4 +69,4 @@ SQL = {
     "p1_records": _KEYED + "SELECT keep_id, n_copies FROM reps WHERE match_id = keep_id",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}

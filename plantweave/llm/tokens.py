@@ -2,8 +2,8 @@
 
 A text is cut into chunks that overlap. Each chunk is split into pre-tokens on its own. A scan that starts inside
 a pre-token may begin with wrong boundaries, but from the first boundary that it shares with the scan of the chunk
-before, both are the same, as a pre-token depends only on what follows its start. Texts are cut there and the
-pieces encoded independently. A text whose chunks share no boundary in an overlap is encoded whole. Decoding
+before, both are the same, as a pre-token depends only on what follows its start. Texts are cut there, but not
+after white space, whose end depends on what follows, and the pieces encoded independently. A text whose chunks share no boundary in an overlap is encoded whole. Decoding
 concatenates the bytes of the ids.
 """
 
@@ -67,7 +67,8 @@ def _boundaries():  # noqa: ANN202
                 at = [m.start() + start for m in _pattern().finditer(text)]
                 # A pattern looks at most three characters ahead, so only starts near the cut end may be wrong.
                 sure = start + len(text) - 8
-                out.append([x for x in at[1:] if x <= sure and (x < low or x >= high)])
+                # A piece that ends in white space would be split otherwise than in its text; none may end there.
+                out.append([x for x in at[1:] if x <= sure and (x < low or x >= high) and not text[x - start - 1].isspace()])
             yield pd.Series(out, dtype=object)
 
     return boundaries
