@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from .entities import linked_pairs, name_entities
 from .formatting import copies, records
 from .mixture import mix
 from .mojibake import spoiled_rows
@@ -38,6 +40,22 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir)
 
 
+def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exact = table(spark, sf_dir, "matches_exact").select(F.col("match_id").alias("rec"), F.col("betroffene_anlage").alias("name"), "matched_id")
+    pending = table(spark, sf_dir, "matches_cluster_pending").select(F.col("pending_id").alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
+    return name_entities(exact.unionByName(pending), table(spark, sf_dir, "candidate_index"))[0]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of matches_exact and matches_cluster_pending that name one plant."""
+    return linked_pairs(_p6(spark, sf_dir))
+
+
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row with what it names."""
+    return _p6(spark, sf_dir).select(F.col("rec").alias("rec_id"), "entity", "n_parts")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -69,4 +87,4 @@ SQL = {
     "p1_records": _KEYED + "SELECT keep_id, n_copies FROM reps WHERE match_id = keep_id",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
