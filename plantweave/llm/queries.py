@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut_lineage, table
 from .entities import linked_pairs, name_entities
 from .formatting import copies, records
+from .linkage import match_entities
 from .mixture import mix
 from .mojibake import spoiled_rows
 from .tokens import encode_texts
@@ -40,6 +41,28 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir)
 
 
+def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_kind, rec_id, mastr_id, score, probability, confidence)"""
+    exact = table(spark, sf_dir, "matches_exact").select(F.struct(F.lit("exact").alias("rec_kind"), F.col("match_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), "matched_id")
+    cluster = table(spark, sf_dir, "matches_cluster").select(F.struct(F.lit("cluster").alias("rec_kind"), F.col("cluster_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
+    rows, plants = name_entities(exact.unionByName(cluster), table(spark, sf_dir, "candidate_index"))
+    rows = cut_lineage(rows.filter("n_parts = 1"))
+    entities = rows.groupBy("entity").agg(*[F.first(c).alias(c) for c in ("place", "type", "block", "direction", "sections")])
+    entities = entities.join(plants.groupBy("entity").agg(F.max("capacity").alias("capacity")), "entity", "left")
+    pairs = match_entities(entities, table(spark, sf_dir, "bnetza_lookup"))
+    return rows.select("rec.rec_kind", "rec.rec_id", "entity").join(pairs, "entity").drop("entity")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of matches_exact and matches_cluster with the registry rows that describe the same plant."""
+    return _p5(spark, sf_dir).filter("confidence <> 'none'").select("rec_kind", "rec_id", "mastr_id")
+
+
+def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs and less likely ones with their probability and confidence."""
+    return _p5(spark, sf_dir)
+
+
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = table(spark, sf_dir, "matches_exact").select(F.col("match_id").alias("rec"), F.col("betroffene_anlage").alias("name"), "matched_id")
     pending = table(spark, sf_dir, "matches_cluster_pending").select(F.col("pending_id").alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
@@ -87,4 +110,4 @@ SQL = {
     "p1_records": _KEYED + "SELECT keep_id, n_copies FROM reps WHERE match_id = keep_id",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
