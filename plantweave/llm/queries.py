@@ -11,6 +11,7 @@ from .formatting import copies, records
 from .linkage import match_entities
 from .mixture import mix
 from .mojibake import spoiled_rows
+from .reading import fit_labels, reading_level
 from .tokens import encode_texts
 
 _P1 = {"row_id": "match_id", "same": ["entry_type", "matched_id", "id_source"], "texts": ["betroffene_anlage", "matched_name"]}
@@ -94,6 +95,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that need specialist, academic or legal training: level 4 or 5."""
+    return p9_levels(spark, sf_dir).filter("reading_level >= 3.5").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading level of every document, null where it has none."""
+    documents = table(spark, sf_dir, "documents")
+    ranker = fit_labels(documents, table(spark, sf_dir, "reading_labels"))
+    return documents.select("doc_id", reading_level(F.col("text"), ranker).alias("reading_level"))
+
+
 _KEYED = r"""
 WITH words AS (
   SELECT match_id, entry_type, matched_id, id_source, list_transform([betroffene_anlage, matched_name],
@@ -110,4 +123,4 @@ SQL = {
     "p1_records": _KEYED + "SELECT keep_id, n_copies FROM reps WHERE match_id = keep_id",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
