@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,22 +41,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application below the cluster's checkpoint folder, which all executors share.
+
+    Only where spark.checkpoint.dir is unset and the master is local, as in tests, a temporary folder of this machine
+    is taken. What is written there is of no use after the application.
+    """
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = getattr(context, "_plantweave_folder", None) or tempfile.mkdtemp(prefix="plantweave-")
+        if not hasattr(context, "_plantweave_folder"):
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context._plantweave_folder = folder
+    return f"{folder.rstrip('/')}/plantweave-{context.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the cluster's checkpoint folder and returns it without its lineage.
+    """df written to the shared folder once and read back: it survives lost executors and has no lineage.
 
-    The folder is that of spark.checkpoint.dir. Only where this is unset and the master is local,
-    as in tests, a temporary folder of this machine is taken.
+    A written table is computed once, while a checkpoint of a Dataset is computed twice, and the optimizer knows its
+    true size.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="plantweave-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def estimated_bytes(df: DataFrame) -> int:
