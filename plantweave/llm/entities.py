@@ -91,6 +91,7 @@ def name_entities(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFra
     Second: the plants of the index with their entity, type completed. A name without anything to tell it by is
     its own folded text; null and blank names have no entity and come out with nulls.
     """
+    rows = rows.select("rec", "name", "matched_id")
     plants, aliases = index_entities(index)
     names = cut_lineage(restored_names(rows))
     parts = cut_lineage(parse_names(names).join(names.select("name", "n"), "name"))

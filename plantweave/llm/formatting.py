@@ -24,7 +24,7 @@ from ..session import cut_lineage, maybe_broadcast
 HOT_ROWS, SALTS = 50_000, 64
 
 _WORD = regex.compile(r"(?:\p{L}\p{M}*)+|\p{N}+")
-_UNSEEN = regex.compile(r"(?!\s)[\p{Cf}\p{Cc}]+")
+_UNSEEN = regex.compile(r"(?:(?![\s\x1c-\x1f])[\p{Cf}\p{Cc}])+")
 
 
 def words(text: str) -> list[str]:

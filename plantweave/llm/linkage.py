@@ -58,7 +58,8 @@ def close_texts(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Data
         keys = F.array(*[F.xxhash64(F.lit(n), *[F.col(f"{prefix}v{i}") for i in s]) for n, s in enumerate(sets)])
         return v.withColumn("key", F.explode(keys))
 
-    pairs = keyed(left, "l", "a").join(keyed(right, "r", "b"), "key")
+    # The optimizer can't know how many keys a text has: neither side may be broadcast.
+    pairs = keyed(left, "l", "a").join(keyed(right, "r", "b").hint("merge"), "key")
     differ = sum((F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in _CHUNK[1:]), F.bit_count(F.col("av0").bitwiseXOR(F.col("bv0"))))
     both = sum((F.bit_count(F.col(f"a{c}").bitwiseAND(F.col(f"b{c}"))) for c in _CHUNK[1:]), F.bit_count(F.col("av0").bitwiseAND(F.col("bv0"))))
     near = pairs.withColumn("_d", differ).filter(F.col("_d") <= radius)
@@ -104,7 +105,7 @@ def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
     is unknown, the only plant of the town and type. Bundles have no match. Repeated registry rows each count.
     Empty inputs give no pair. confidence: high, medium, low or none, by LEVELS.
     """
-    entities = cut_lineage(entities.filter("place <> ''"))
+    entities = cut_lineage(entities.select("entity", "place", "type", "block", "direction", "sections", "capacity").filter("place <> ''"))
     records = cut_lineage(registry_records(registry))
     places = records.select(F.explode(F.array("place", "town")).alias("r")).filter("r <> ''").distinct()
     near = cut_lineage(close_texts(entities.select(F.col("place").alias("l")).distinct(), places))

@@ -29,8 +29,9 @@ WIDE = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x
 SINGLE = GERMAN + "éèáàãõøåæçñÉÈÁÀÃÕØÅÆÇÑ"
 #: Paths kept a word and channel.
 PATHS = 16
-#: Log priors: of a word that was spoiled, of a question mark that was added, of a foreign letter and of a sign inside a word.
-SPOILED, ADDED, FOREIGN, SIGN = -6.0, -4.0, -12.0, -16.0
+#: Log priors: of a word that was spoiled, of one that becomes no word of the corpus, of a question mark that was added,
+#: of a foreign letter and of a sign inside a word.
+SPOILED, UNKNOWN, ADDED, FOREIGN, SIGN = -6.0, -3.0, -4.0, -12.0, -16.0
 
 #: Values that hold none of these are written in plain German letters and can't be spoiled.
 SUSPICIOUS = r"[^\x{0}-\x{7E}äöüÄÖÜß]|\?"
@@ -227,6 +228,8 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                 known = stripped if all(ord(c) <= 126 or c in GERMAN for c in stripped) and "?" not in stripped else None
                 # The corpus' count of a word with foreign letters can't be trusted: copies repeat what is spoiled.
                 out.append((word, word, "", fold(known) if known else None, _as_is(word, model), ADDED if known is not None and known != _bare(word) else 0.0, certain))
+                # Foreign letters may be right, signs between letters hardly.
+                letters = all(c.isalpha() for c in word if ord(c) > 126 and c not in GERMAN) and "?" not in word
                 seen = set()
                 if clean != word:
                     out.append((word, clean, "byte order mark", fold(clean), SPOILED + model.score(fold(clean)), SPOILED, certain))
@@ -235,7 +238,7 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                         if text not in seen:
                             seen.add(text)
                             left = sum(SIGN if not c.isalpha() else FOREIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
-                            out.append((word, text, channel, fold(text), SPOILED + score + left, SPOILED + left, certain))
+                            out.append((word, text, channel, fold(text), SPOILED + UNKNOWN * letters + score + left, SPOILED + left, certain))
             yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"])
 
     return run

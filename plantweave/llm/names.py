@@ -52,7 +52,7 @@ ENERGY = {
 }
 
 _DIGRAPHS = regex.compile("(?<=[aou])e")
-_INVISIBLE = regex.compile(r"(?!\s)[\p{Cf}\p{Cc}]+")
+_INVISIBLE = regex.compile(r"(?:(?!\s)[\p{Cf}\p{Cc}])+")
 
 
 @lru_cache(maxsize=100_000)

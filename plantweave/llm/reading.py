@@ -23,6 +23,7 @@ from pyspark.sql.functions import pandas_udf
 LABELS, HASHED, EPOCHS, RATE, DECAY, SEED = 3_000, 1 << 15, 15, 0.5, 1e-5, 42
 #: Only prose of at least so many pieces between white space has a level.
 LEAST_WORDS = 25
+LONGEST = 200
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’-]*")
 _SENTENCE = regex.compile(r"[.!?…]+(?=\s|$|[\"“”'])|\n\s*\n")
@@ -44,7 +45,7 @@ FUNCTION_WORDS = {
     "should", "must", "of", "to", "on", "at", "by", "for", "from", "with", "as", "that", "this", "which", "who", "what", "it", "he",
     "she", "we", "you", "they", "i", "my", "our", "your", "its", "their", "if", "when", "because", "than", "then", "there", "all", "do", "does",
 }
-N_SYNTAX = 16
+N_SYNTAX = 15
 
 
 def is_prose(text: str | None) -> bool:
@@ -60,8 +61,9 @@ def is_prose(text: str | None) -> bool:
         return False
     pieces = _HEADER.sub("", text).split()
     n = max(len(pieces), 1)
-    words = sum(bool(_WORDLIKE.match(p)) for p in pieces)
-    structure = sum(bool(_STRUCTURED.search(p)) for p in pieces)
+    # No word is longer than LONGEST; longer pieces are neutral, but for what their begin shows.
+    words = sum(len(p) <= LONGEST and bool(_WORDLIKE.match(p)) for p in pieces)
+    structure = sum(bool(_STRUCTURED.search(p[:LONGEST])) for p in pieces)
     strange = sum(bool(_STRANGE.search(p)) for p in pieces)
     bars = sum(p == "|" for p in pieces)
     return words >= 0.3 * n and structure <= 0.08 * n and strange <= 0.08 * n and bars <= 0.1 * n
@@ -82,7 +84,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sum(w.endswith(("ung", "heit", "keit", "tion", "ität", "ment", "ness", "ity")) for w in words) / n,
         sum(w in ("wird", "werden", "wurde", "worden", "been", "being", "be") for w in words) / n,
         len(_FORMULA.findall(text)) / n, sum(c.isdigit() for c in text) / max(len(text), 1),
-        text.count("?") / s + text.count("!") / s, distinct / n, math.log1p(n) / 10,
+        text.count("?") / s + text.count("!") / s, distinct / n,
     ])
     # Words that name a place or plant occur in few texts and teach nothing; hashing keeps the table's size fixed.
     counts: dict[int, float] = {}
@@ -96,6 +98,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, value / max(np.linalg.norm(value), 1e-9), syntax
 
 
+def standardised(syntax: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Syntax values in deviations from the labelled texts, cut at 3, so that very long texts don't stand out."""
+    return np.clip((syntax - mean) / scale, -3.0, 3.0) / math.sqrt(N_SYNTAX)
+
+
 @dataclass
 class Ranker:
     """Weights of syntax and vocabulary, and the steps of the calibration: scores from knots[i] on have levels[i]."""
@@ -109,7 +116,7 @@ class Ranker:
 
     def score(self, text: str) -> float:
         at, value, syntax = features(text)
-        return float(self.vocabulary[at] @ value + (syntax - self.mean) / self.scale @ self.syntax)
+        return float(self.vocabulary[at] @ value + standardised(syntax, self.mean, self.scale) @ self.syntax)
 
     def level(self, score: float) -> float:
         """Interpolated between the centres of the calibration's steps."""
@@ -134,7 +141,7 @@ def _weights(texts: list[str], grades: np.ndarray, seed: int) -> Ranker:
     parts = [features(t) for t in texts]
     syntax = np.array([p[2] for p in parts])
     mean, scale = syntax.mean(0), syntax.std(0) + 1e-6
-    dense = (syntax - mean) / scale / math.sqrt(N_SYNTAX)
+    dense = standardised(syntax, mean, scale)
     w, v = np.zeros(N_SYNTAX), np.zeros(HASHED)
     by_level = {g: np.flatnonzero(grades == g) for g in np.unique(grades)}
     levels = sorted(by_level)
@@ -160,14 +167,14 @@ def _weights(texts: list[str], grades: np.ndarray, seed: int) -> Ranker:
             if step % 1000 == 0:
                 v *= 1 - DECAY * 1000
                 w *= 1 - DECAY * 1000
-    return Ranker(mean, scale * math.sqrt(N_SYNTAX), w, v, np.array([0.0]), np.array([0.0]))
+    return Ranker(mean, scale, w, v, np.array([0.0]), np.array([0.0]))
 
 
 def fit(texts: list[str], grades: list[int], seed: int = SEED, folds: int = 4) -> Ranker:
     """A ranker fitted on all texts; calibrated on scores that rankers give to texts they were not fitted on."""
     kept = [(t, g) for t, g in zip(texts, grades, strict=True) if is_prose(t)]
     if len({g for _, g in kept}) < 2:
-        level = float(np.mean([g for _, g in kept])) if kept else 0.0
+        level = float(np.mean([g for _, g in kept])) if kept else math.nan
         return Ranker(np.zeros(N_SYNTAX), np.ones(N_SYNTAX), np.zeros(N_SYNTAX), np.zeros(HASHED), np.array([0.0]), np.array([level]))
     texts, values = [t for t, _ in kept], np.array([g for _, g in kept], float)
     ranker = _weights(texts, values, seed)
@@ -186,18 +193,23 @@ def fit(texts: list[str], grades: list[int], seed: int = SEED, folds: int = 4) -
 
 def fit_labels(documents: DataFrame, labels: DataFrame, most: int = LABELS) -> Ranker:
     """The ranker of the labelled documents, of at most `most` of them."""
-    drawn = labels.filter("reading_level BETWEEN 1 AND 5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    drawn = labels.select("doc_id", "reading_level").filter("reading_level BETWEEN 1 AND 5").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most `most` texts come to the driver.
     graded = documents.select("doc_id", "text").join(drawn, "doc_id").filter(F.col("text").isNotNull()).orderBy("doc_id").toPandas()
     return fit(graded.text.tolist(), graded.reading_level.tolist())
 
 
 def reading_level(text: Column, ranker: Ranker) -> Column:
-    """The level of a text, from 1.0 to 5.0; null for null and for all that isn't prose."""
+    """The level of a text, from 1.0 to 5.0; null for null, for all that isn't prose, and if no label was given at all.
+
+    Whole texts are read, however long; repeated texts have equal levels. Labels of null or absent documents and levels
+    beyond 1 to 5 teach nothing; labels of one level only give that level to all prose.
+    """
 
     @pandas_udf("double")
     def level(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([ranker.level(ranker.score(t)) if is_prose(t) else None for t in texts], dtype="float64")
+            levels = [ranker.level(ranker.score(t)) if is_prose(t) else math.nan for t in texts]
+            yield pd.Series([None if x != x else x for x in levels], dtype="Float64")
 
     return level(text)

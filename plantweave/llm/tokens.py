@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import cut_lineage
+
 #: Characters of a chunk, and of the overlap on either side of its end.
 CHUNK, OVERLAP = 200_000, 2_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -86,7 +88,10 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None, ch
     length = F.coalesce(F.length("_text"), F.lit(0))
     short = rows.filter(length <= chunk).select(F.col("_key").alias(key), encode("_text").alias("ids"))
 
-    long = rows.filter(length > chunk)
+    # Long texts are few; they are written once, and where there are none the texts are read only once more.
+    long = cut_lineage(rows.filter(length > chunk))
+    if not long.limit(1).count():
+        return short
     n = F.ceil(F.length("_text") / chunk).cast("int")
     # Chunk i owns [i * chunk, (i + 1) * chunk) and carries an overlap on both sides.
     pieces = long.select("_key", F.length("_text").alias("_all"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("_text"), F.greatest(F.lit(1), i * chunk - overlap + 1), F.when(i == 0, chunk + overlap).otherwise(chunk + 2 * overlap)))).alias("_i", "_part"))

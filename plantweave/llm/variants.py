@@ -18,6 +18,8 @@ from ..session import cut_lineage
 
 #: Texts from these lengths on may differ by 1, 2 and 3 edits; 3 only from a known text.
 ONE, TWO, THREE = 5, 8, 12
+#: Longer texts are no names; they stand for themselves.
+LONGEST = 64
 _KEY = "text string, key string"
 
 
@@ -101,10 +103,12 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     texts = texts.filter(F.col("text").isNotNull()).groupBy("text", "cut").agg(F.max("known").alias("known"), F.sum("weight").alias("weight"))
     texts = cut_lineage(texts)
     whole = texts.filter(~F.col("cut")).withColumnRenamed("text", "_t").select(F.col("_t").alias("text"), "known", "weight")
-    queries = texts.filter(~(F.col("known") & ~F.col("cut")) & (F.length("text") >= 4))
+    fit = F.length("text").between(4, LONGEST)
+    queries = texts.filter(~(F.col("known") & ~F.col("cut")) & fit)
     looked = queries.mapInPandas(_emit_queries, "text string, cut boolean, weight long, key string")
-    index = whole.filter(F.length("text") >= 4).mapInPandas(_emit_references, "reference string, known boolean, reference_weight long, key string")
-    met = looked.join(index, "key").filter((F.col("text") != F.col("reference")) | F.col("cut")).dropDuplicates(["text", "cut", "reference"])
+    index = whole.filter(fit).mapInPandas(_emit_references, "reference string, known boolean, reference_weight long, key string")
+    # The optimizer can't know how many keys a text has: neither side may be broadcast.
+    met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut")).dropDuplicates(["text", "cut", "reference"])
     near = met.withColumn("d", _distance()).filter(F.col("d").isNotNull())
     greater = F.struct("reference_weight", "reference") > F.struct(F.col("weight").alias("reference_weight"), F.col("text").alias("reference"))
     near = near.filter(F.col("known") | (F.col("d") <= 2) & (greater | F.col("cut")))
