@@ -148,4 +148,5 @@ def rows_within(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     a, b = located(left, left_id, "q"), located(right, right_id, "p")
     places = lambda df, x: df.select(F.col(f"{x}_lat").alias("lat"), F.col(f"{x}_lon").alias("lon")).distinct()
     pairs = place_pairs(places(a, "q"), places(b, "p"), km)
-    return pairs.join(a, ["q_lat", "q_lon"]).join(b, ["p_lat", "p_lon"]).select(left_id, right_id, "km")
+    # The optimizer can't know the number of pairs, so they are never broadcast.
+    return pairs.hint("merge").join(a, ["q_lat", "q_lon"]).hint("merge").join(b, ["p_lat", "p_lon"]).select(left_id, right_id, "km")

@@ -25,7 +25,8 @@ def _places(df: DataFrame, prefix: str) -> DataFrame:
 def near_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, left_also: tuple[str, ...] = (), right_also: tuple[str, ...] = ()) -> DataFrame:
     """(q_id, p_id, km, and q_ and p_ columns) of rows with lat and lon at most km apart."""
     a, b = _located(left, left_id, "q", *left_also), _located(right, right_id, "p", *right_also)
-    return place_pairs(_places(a, "q"), _places(b, "p"), km).join(a, ["q_lat", "q_lon"]).join(b, ["p_lat", "p_lon"])
+    pairs = place_pairs(_places(a, "q"), _places(b, "p"), km).hint("merge")  # their number isn't known to the optimizer
+    return pairs.join(a, ["q_lat", "q_lon"]).hint("merge").join(b, ["p_lat", "p_lon"])
 
 
 def grid_pairs(points: DataFrame, key: str, km: float, size: float = 0.1, strict: bool = True, within: tuple[str, ...] = ()) -> DataFrame:

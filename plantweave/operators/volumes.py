@@ -15,6 +15,11 @@ CATEGORIES = ["matched high", "matched medium", "matched low", "unmatched", "agg
 AGGREGATES = ["control_reserve", "substation", "regional_renewable", "countertrade", "emergency", "foreign"]
 
 
+def exact_sum(c: Column | str) -> Column:
+    """A sum of volumes that doesn't depend on the order in which partitions arrive."""
+    return F.sum(F.col(c).cast("decimal(24,6)") if isinstance(c, str) else c.cast("decimal(24,6)")).cast("double")
+
+
 def volumes(events: DataFrame) -> DataFrame:
     """name, day, year, mwh, inc, dec of calls with a day and a volume.
 
@@ -40,19 +45,19 @@ def match_category(known: Column, matched: Column, confidence: Column, entry: Co
 
 def daily(df: DataFrame, *keys: str) -> DataFrame:
     """inc and dec a day and key, rounded to thousandths."""
-    return df.groupBy(*keys, "day").agg(F.round(F.sum("inc"), 3).alias("inc"), F.round(F.sum("dec"), 3).alias("dec"))
+    return df.groupBy(*keys, "day").agg(F.round(exact_sum("inc"), 3).alias("inc"), F.round(exact_sum("dec"), 3).alias("dec"))
 
 
 def category_totals(df: DataFrame, domain: Sequence[str] = CATEGORIES) -> DataFrame:
     """(category, mwh) of every category of the domain, 0 where there is nothing."""
     spark = df.sparkSession
     base = spark.createDataFrame([(c,) for c in domain], "category string")
-    return F.broadcast(base).join(df.groupBy("category").agg(F.sum("mwh").alias("mwh")), "category", "left").select("category", F.coalesce("mwh", F.lit(0.0)).alias("mwh"))
+    return F.broadcast(base).join(df.groupBy("category").agg(exact_sum("mwh").alias("mwh")), "category", "left").select("category", F.coalesce("mwh", F.lit(0.0)).alias("mwh"))
 
 
 def year_table(df: DataFrame, domain: Sequence[str] = CATEGORIES) -> DataFrame:
     """A row a year with a column for each category of the domain, 0 where there is nothing."""
-    return df.groupBy("year").pivot("category", [*domain]).agg(F.sum("mwh")).na.fill(0.0)
+    return df.groupBy("year").pivot("category", [*domain]).agg(exact_sum("mwh")).na.fill(0.0)
 
 
 def row_shares(table: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -63,15 +68,15 @@ def row_shares(table: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def key_figures(df: DataFrame) -> DataFrame:
     """Shares of volume: matched of all, aggregates of all, matched of what isn't aggregate."""
-    matched = F.sum(F.when(F.startswith("category", F.lit("matched")), F.col("mwh")).otherwise(0.0))
-    aggregate = F.sum(F.when(F.col("category") == "aggregate", F.col("mwh")).otherwise(0.0))
-    summed = df.agg(F.sum("mwh").alias("t"), matched.alias("m"), aggregate.alias("a"))
+    matched = exact_sum(F.when(F.startswith("category", F.lit("matched")), F.col("mwh")).otherwise(0.0))
+    aggregate = exact_sum(F.when(F.col("category") == "aggregate", F.col("mwh")).otherwise(0.0))
+    summed = df.agg(exact_sum("mwh").alias("t"), matched.alias("m"), aggregate.alias("a"))
     return summed.select(F.col("t").alias("total_mwh"), (100 * F.col("m") / F.col("t")).alias("matched_pct"), (100 * F.col("a") / F.col("t")).alias("aggregate_pct"), (100 * F.col("m") / (F.col("t") - F.col("a"))).alias("attributable_pct"))
 
 
 def largest(df: DataFrame, keys: list[str], k: int = 15) -> DataFrame:
     """The k groups of most volume, ties by key."""
-    return df.groupBy(*keys).agg(F.sum("mwh").alias("mwh")).orderBy(F.desc("mwh"), *keys).limit(k)
+    return df.groupBy(*keys).agg(exact_sum("mwh").alias("mwh")).orderBy(F.desc("mwh"), *keys).limit(k)
 
 
 def day_axis(df: DataFrame) -> DataFrame:
@@ -92,11 +97,11 @@ def window_view(daily_rows: DataFrame, first_day: str, last_day: str, confidence
     daily_rows: key, confidence, day, inc, dec. The radius' reference is the largest whole-period total as a daily
     rate times the window's length, so it depends on the length only.
     """
-    whole = daily_rows.groupBy(key).agg((F.sum("inc") + F.sum("dec")).alias("_t")).agg(F.max("_t").alias("_most"))
+    whole = daily_rows.groupBy(key).agg((exact_sum("inc") + exact_sum("dec")).alias("_t")).agg(F.max("_t").alias("_most"))
     span = daily_rows.agg((F.datediff(F.max("day"), F.min("day")) + 1).alias("_days"))
     scale = whole.crossJoin(span).select((F.col("_most") / F.col("_days")).alias("_rate"))  # one row with one row
     inside = daily_rows.filter(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
-    summed = inside.groupBy(key, "confidence").agg(F.round(F.sum("inc"), 3).alias("inc"), F.round(F.sum("dec"), 3).alias("dec"))
+    summed = inside.groupBy(key, "confidence").agg(F.round(exact_sum("inc"), 3).alias("inc"), F.round(exact_sum("dec"), 3).alias("dec"))
     length = F.datediff(F.lit(last_day).cast("date"), F.lit(first_day).cast("date")) + 1
     shown = F.col("confidence").isin([*confidences]) if confidences is not None else F.lit(True)
     return summed.crossJoin(F.broadcast(scale)).select(key, "inc", "dec", shown.alias("shown"), marker_radius(F.col("inc") + F.col("dec"), F.col("_rate") * length).alias("radius"), balance(F.col("inc"), F.col("dec")).alias("balance"))
@@ -104,5 +109,5 @@ def window_view(daily_rows: DataFrame, first_day: str, last_day: str, confidence
 
 def shares_of_total(df: DataFrame, by: str) -> DataFrame:
     """(by, mwh, pct) of the whole, the largest first. The total is taken over the groups."""
-    grouped = df.groupBy(by).agg(F.sum("mwh").alias("mwh"))
+    grouped = df.groupBy(by).agg(exact_sum("mwh").alias("mwh"))
     return grouped.withColumn("pct", 100 * F.col("mwh") / F.sum("mwh").over(Window.partitionBy())).orderBy(F.desc("mwh"), by)

@@ -498,7 +498,7 @@ def local_day_berlin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "build_data").select("row_id", F.date_format(local_day(wall, F.col("zeitzone_von")), "yyyy-MM-dd").alias("day"), clock_change(wall, "Europe/Berlin").alias("change"))
 
 
-@query(f"WITH {_VOLUMES} SELECT name, day, round(sum(inc), 3) AS inc, round(sum(dec), 3) AS dec FROM volumes GROUP BY name, day")
+@query(f"WITH {_VOLUMES} SELECT name, day, round(CAST(sum(CAST(inc AS DECIMAL(24, 6))) AS DOUBLE), 3) AS inc, round(CAST(sum(CAST(dec AS DECIMAL(24, 6))) AS DOUBLE), 3) AS dec FROM volumes GROUP BY name, day")
 def daily_inc_dec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.daily(volumes.volumes(table(spark, sf_dir, "build_data")), "name")
 
@@ -512,24 +512,24 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.join(r, "name", "left").withColumn("category", volumes.map_category(F.col("entry_type"), F.col("lat"), F.col("lon"))).withColumn("confidence", F.coalesce("confidence", F.lit("none")))
 
 
-@query(f"WITH {_MAPPED} SELECT category, day, round(sum(mwh), 3) AS mwh FROM mapped WHERE category <> 'mapped' GROUP BY 1, 2")
+@query(f"WITH {_MAPPED} SELECT category, day, round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE), 3) AS mwh FROM mapped WHERE category <> 'mapped' GROUP BY 1, 2")
 def unmapped_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mapped(spark, sf_dir).filter("category <> 'mapped'").groupBy("category", "day").agg(F.round(F.sum("mwh"), 3).alias("mwh"))
+    return _mapped(spark, sf_dir).filter("category <> 'mapped'").groupBy("category", "day").agg(F.round(volumes.exact_sum("mwh"), 3).alias("mwh"))
 
 
-@query(f"""WITH {_MAPPED} SELECT min(day) AS date_min, max(day) AS date_max, count(DISTINCT CASE WHEN category = 'mapped' THEN name END) AS n_plants, round(sum(mwh), 1) AS total_mwh,
-round(sum(CASE WHEN category = 'mapped' THEN mwh ELSE 0 END), 1) AS mapped_mwh, round(sum(CASE WHEN category = 'boerse' THEN mwh ELSE 0 END), 1) AS boerse_mwh, round(sum(CASE WHEN category = 'not_identified' THEN mwh ELSE 0 END), 1) AS not_identified_mwh FROM mapped""")
+@query(f"""WITH {_MAPPED} SELECT min(day) AS date_min, max(day) AS date_max, count(DISTINCT CASE WHEN category = 'mapped' THEN name END) AS n_plants, round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE), 1) AS total_mwh,
+round(CAST(sum(CAST(CASE WHEN category = 'mapped' THEN mwh ELSE 0 END AS DECIMAL(24, 6))) AS DOUBLE), 1) AS mapped_mwh, round(CAST(sum(CAST(CASE WHEN category = 'boerse' THEN mwh ELSE 0 END AS DECIMAL(24, 6))) AS DOUBLE), 1) AS boerse_mwh, round(CAST(sum(CAST(CASE WHEN category = 'not_identified' THEN mwh ELSE 0 END AS DECIMAL(24, 6))) AS DOUBLE), 1) AS not_identified_mwh FROM mapped""")
 def dashboard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda c: F.round(F.sum(F.when(F.col("category") == c, F.col("mwh")).otherwise(0.0)), 1).alias(f"{c}_mwh")
-    return _mapped(spark, sf_dir).agg(F.min("day").alias("date_min"), F.max("day").alias("date_max"), F.count_distinct(F.when(F.col("category") == "mapped", F.col("name"))).alias("n_plants"), F.round(F.sum("mwh"), 1).alias("total_mwh"), of("mapped"), of("boerse"), of("not_identified"))
+    of = lambda c: F.round(volumes.exact_sum(F.when(F.col("category") == c, F.col("mwh")).otherwise(0.0)), 1).alias(f"{c}_mwh")
+    return _mapped(spark, sf_dir).agg(F.min("day").alias("date_min"), F.max("day").alias("date_max"), F.count_distinct(F.when(F.col("category") == "mapped", F.col("name"))).alias("n_plants"), F.round(volumes.exact_sum("mwh"), 1).alias("total_mwh"), of("mapped"), of("boerse"), of("not_identified"))
 
 
-@query(f"""{_CATEGORISED} SELECT d.category, coalesce(round(sum(mwh), 3), 0) AS mwh FROM (SELECT unnest({_CATS}) AS category) d LEFT JOIN cat USING (category) GROUP BY d.category""")
+@query(f"""{_CATEGORISED} SELECT d.category, coalesce(round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE), 3), 0) AS mwh FROM (SELECT unnest({_CATS}) AS category) d LEFT JOIN cat USING (category) GROUP BY d.category""")
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.category_totals(categorised(spark, sf_dir)).withColumn("mwh", F.round("mwh", 3))
 
 
-_YEAR = ", ".join(f"""coalesce(sum(mwh) FILTER (category = '{c}'), 0) AS "{c}" """ for c in _CATS)
+_YEAR = ", ".join(f"""coalesce(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) FILTER (category = '{c}') AS DOUBLE), 0) AS "{c}" """ for c in _CATS)
 
 
 @query(f"""{_CATEGORISED}, y AS (SELECT year, {_YEAR} FROM cat GROUP BY year) SELECT year, {', '.join(f'round("{c}", 3) AS "{c}"' for c in _CATS)} FROM y""")
@@ -547,26 +547,26 @@ def year_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares.select("year", *[F.round(c, 4).alias(c) for c in _CATS])
 
 
-@query(f"""{_CATEGORISED}, s AS (SELECT sum(mwh) AS t, sum(CASE WHEN starts_with(category, 'matched') THEN mwh ELSE 0 END) AS m, sum(CASE WHEN category = 'aggregate' THEN mwh ELSE 0 END) AS a FROM cat)
+@query(f"""{_CATEGORISED}, s AS (SELECT CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE) AS t, CAST(sum(CAST(CASE WHEN starts_with(category, 'matched') THEN mwh ELSE 0 END AS DECIMAL(24, 6))) AS DOUBLE) AS m, CAST(sum(CAST(CASE WHEN category = 'aggregate' THEN mwh ELSE 0 END AS DECIMAL(24, 6))) AS DOUBLE) AS a FROM cat)
 SELECT round(t, 2) AS total_mwh, round(100 * m / t, 4) AS matched_pct, round(100 * a / t, 4) AS aggregate_pct, round(100 * m / (t - a), 4) AS attributable_pct FROM s""")
 def volume_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = volumes.key_figures(categorised(spark, sf_dir))
     return k.select(F.round("total_mwh", 2).alias("total_mwh"), *[F.round(c, 4).alias(c) for c in k.columns[1:]])
 
 
-@query(f"""{_CATEGORISED}, c AS (SELECT year, category, round(sum(mwh) / 1e6, 6) AS twh FROM cat WHERE starts_with(category, 'matched') GROUP BY 1, 2) SELECT year, category, twh FROM c""")
+@query(f"""{_CATEGORISED}, c AS (SELECT year, category, round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE) / 1e6, 6) AS twh FROM cat WHERE starts_with(category, 'matched') GROUP BY 1, 2) SELECT year, category, twh FROM c""")
 def confidence_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     matched = categorised(spark, sf_dir).filter(F.startswith("category", F.lit("matched")))
-    return matched.groupBy("year", "category").agg(F.round(F.sum("mwh") / 1e6, 6).alias("twh"))
+    return matched.groupBy("year", "category").agg(F.round(volumes.exact_sum("mwh") / 1e6, 6).alias("twh"))
 
 
-@query(f"""{_CATEGORISED} SELECT name, category, round(sum(mwh), 3) AS mwh FROM cat WHERE NOT starts_with(category, 'matched') AND name IS NOT NULL GROUP BY 1, 2 ORDER BY sum(mwh) DESC, name, category LIMIT 15""")
+@query(f"""{_CATEGORISED} SELECT name, category, round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE), 3) AS mwh FROM cat WHERE NOT starts_with(category, 'matched') AND name IS NOT NULL GROUP BY 1, 2 ORDER BY CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE) DESC, name, category LIMIT 15""")
 def top_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = categorised(spark, sf_dir).filter(~F.startswith("category", F.lit("matched")) & F.col("name").isNotNull())
     return volumes.largest(rest, ["name", "category"]).withColumn("mwh", F.round("mwh", 3))
 
 
-@query(f"{_CATEGORISED}, g AS (SELECT category, sum(mwh) AS mwh FROM cat GROUP BY 1) SELECT category, round(mwh, 3) AS mwh, round(100 * mwh / sum(mwh) OVER (), 4) AS pct FROM g")
+@query(f"{_CATEGORISED}, g AS (SELECT category, CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE) AS mwh FROM cat GROUP BY 1) SELECT category, round(mwh, 3) AS mwh, round(100 * mwh / sum(mwh) OVER (), 4) AS pct FROM g")
 def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.shares_of_total(categorised(spark, sf_dir), "category").select("category", F.round("mwh", 3).alias("mwh"), F.round("pct", 4).alias("pct"))
 
@@ -574,9 +574,9 @@ def category_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WINDOW = ("2022-01-01", "2022-06-30")
 
 
-@query(f"""WITH {_MAPPED}, d AS (SELECT name, confidence, day, round(sum(inc), 3) AS inc, round(sum(dec), 3) AS dec FROM mapped WHERE name IS NOT NULL GROUP BY ALL),
-s AS (SELECT (SELECT max(t) FROM (SELECT sum(inc) + sum(dec) AS t FROM d GROUP BY name)) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d) * (date_diff('day', DATE '{_WINDOW[0]}', DATE '{_WINDOW[1]}') + 1) AS ref),
-w AS (SELECT name, confidence, round(sum(inc), 3) AS inc, round(sum(dec), 3) AS dec FROM d WHERE day BETWEEN DATE '{_WINDOW[0]}' AND DATE '{_WINDOW[1]}' GROUP BY ALL)
+@query(f"""WITH {_MAPPED}, d AS (SELECT name, confidence, day, round(CAST(sum(CAST(inc AS DECIMAL(24, 6))) AS DOUBLE), 3) AS inc, round(CAST(sum(CAST(dec AS DECIMAL(24, 6))) AS DOUBLE), 3) AS dec FROM mapped WHERE name IS NOT NULL GROUP BY ALL),
+s AS (SELECT (SELECT max(t) FROM (SELECT CAST(sum(CAST(inc AS DECIMAL(24, 6))) AS DOUBLE) + CAST(sum(CAST(dec AS DECIMAL(24, 6))) AS DOUBLE) AS t FROM d GROUP BY name)) / (SELECT date_diff('day', min(day), max(day)) + 1 FROM d) * (date_diff('day', DATE '{_WINDOW[0]}', DATE '{_WINDOW[1]}') + 1) AS ref),
+w AS (SELECT name, confidence, round(CAST(sum(CAST(inc AS DECIMAL(24, 6))) AS DOUBLE), 3) AS inc, round(CAST(sum(CAST(dec AS DECIMAL(24, 6))) AS DOUBLE), 3) AS dec FROM d WHERE day BETWEEN DATE '{_WINDOW[0]}' AND DATE '{_WINDOW[1]}' GROUP BY ALL)
 SELECT name, inc, dec, confidence IN ('high', 'medium') AS shown, round(CASE WHEN inc + dec <= 0 THEN 0 ELSE greatest(3.0, least(46.0, 46.0 * sqrt((inc + dec) / ref))) END, 4) AS radius,
   CASE WHEN inc + dec <= 0 OR abs(inc - dec) / (inc + dec) < 0.1 THEN 'balanced' WHEN inc > dec THEN 'increase' ELSE 'decrease' END AS balance FROM w, s""")
 def window_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -598,10 +598,10 @@ def month_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NICE = "(CASE WHEN {0} <= 0 THEN 0.0 ELSE pow(10.0, floor(log10({0}))) * CASE WHEN {0} / pow(10.0, floor(log10({0}))) < 1.5 THEN 1.0 WHEN {0} / pow(10.0, floor(log10({0}))) < 3 THEN 2.0 WHEN {0} / pow(10.0, floor(log10({0}))) < 7 THEN 5.0 ELSE 10.0 END END)"
 
 
-@query(f"""WITH {_VOLUMES}, t AS (SELECT name, round(sum(mwh), 3) AS mwh FROM volumes WHERE name IS NOT NULL GROUP BY name), n AS (SELECT name, mwh, {_NICE.format('mwh')} AS top FROM t)
+@query(f"""WITH {_VOLUMES}, t AS (SELECT name, round(CAST(sum(CAST(mwh AS DECIMAL(24, 6))) AS DOUBLE), 3) AS mwh FROM volumes WHERE name IS NOT NULL GROUP BY name), n AS (SELECT name, mwh, {_NICE.format('mwh')} AS top FROM t)
 SELECT name, mwh, array_to_string(list_sort(list_distinct(list_filter([{_NICE.format('(top / 25)')}, {_NICE.format('(top / 5)')}, top], lambda v: v > 0))).list_transform(lambda v: printf('%.4f', v)), ' ') AS legend,
   CASE WHEN mwh >= 1e6 THEN printf('%.2f TWh', mwh / 1e6) WHEN mwh >= 1e3 THEN printf('%.1f GWh', mwh / 1e3) ELSE CAST(CAST(round(mwh) AS BIGINT) AS VARCHAR) || ' MWh' END AS label FROM n""")
 def nice_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = volumes.volumes(table(spark, sf_dir, "build_data")).filter(F.col("name").isNotNull()).groupBy("name").agg(F.round(F.sum("mwh"), 3).alias("mwh"))
+    t = volumes.volumes(table(spark, sf_dir, "build_data")).filter(F.col("name").isNotNull()).groupBy("name").agg(F.round(volumes.exact_sum("mwh"), 3).alias("mwh"))
     legend = F.array_join(F.transform(figures.legend_values(F.col("mwh")), lambda v: F.format_string("%.4f", v)), " ")
     return t.select("name", "mwh", legend.alias("legend"), figures.energy_label(F.col("mwh")).alias("label"))
