@@ -129,6 +129,11 @@ def suspicious(word: str) -> bool:
     return any(ord(c) > 126 and c not in GERMAN for c in word) or ("?" in word and word.strip("?") != "")
 
 
+def _is_letter(c: str) -> bool:
+    """Letters with a case; modifiers such as a lone circumflex are signs."""
+    return unicodedata.category(c) in ("Lu", "Ll", "Lt")
+
+
 def fold(word: str) -> str:
     return _bare(word).casefold().replace("ss", "ß")
 
@@ -172,7 +177,7 @@ def _as_is(word: str, model: CharacterModel) -> float:
     cost = ADDED if inner != folded else 0.0
     for c in inner:
         if ord(c) > 126 and c not in _ALPHABET:
-            cost += FOREIGN if c.isalpha() else SIGN
+            cost += FOREIGN if _is_letter(c) else SIGN
         elif c == "?":
             cost += SIGN
     return cost + model.score("".join(c for c in inner if c in _ALPHABET or c.isdigit() or c.isascii()))
@@ -229,7 +234,7 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                 # The corpus' count of a word with foreign letters can't be trusted: copies repeat what is spoiled.
                 out.append((word, word, "", fold(known) if known else None, _as_is(word, model), ADDED if known is not None and known != _bare(word) else 0.0, certain))
                 # Foreign letters may be right, signs between letters hardly.
-                letters = all(c.isalpha() for c in word if ord(c) > 126 and c not in GERMAN) and "?" not in word
+                letters = all(_is_letter(c) for c in word if ord(c) > 126 and c not in GERMAN) and "?" not in word
                 seen = set()
                 if clean != word:
                     out.append((word, clean, "byte order mark", fold(clean), SPOILED + model.score(fold(clean)), SPOILED, certain))
@@ -237,7 +242,7 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                     for score, text in paths(clean, channel, model):
                         if text not in seen:
                             seen.add(text)
-                            left = sum(SIGN if not c.isalpha() else FOREIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
+                            left = sum(FOREIGN if _is_letter(c) else SIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
                             out.append((word, text, channel, fold(text), SPOILED + UNKNOWN * letters + score + left, SPOILED + left, certain))
             yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"])
 
