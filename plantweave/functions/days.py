@@ -20,7 +20,7 @@ def clock_change(wall: Column, zone: str) -> Column:
     back = lambda u: F.convert_timezone(F.lit("UTC"), F.lit(zone), u)
     hour = F.expr("INTERVAL '1' HOUR")
     skipped = back(utc(wall)) != wall
-    repeated = (back(utc(wall) + hour) == wall) | (back(utc(wall) - hour) == wall)
+    repeated = back(utc(wall) + hour) == wall  # of two instants the earlier one is taken
     return F.when(skipped, "skipped").when(repeated, "repeated")
 
 

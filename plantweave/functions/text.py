@@ -40,9 +40,13 @@ FUELS_OF_ENERGY = {
 }
 
 
+#: All white space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def filled(c: Column) -> Column:

@@ -11,6 +11,7 @@ put back to their rows afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -78,23 +79,41 @@ def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(keys) else ()
 
 
-def place_pairs(queries: DataFrame, points: DataFrame, km: float) -> DataFrame:
-    """Pairs of places (q_lat, q_lon, p_lat, p_lon, km) at most km apart.
+@dataclass
+class Sections:
+    """Distinct points (lat, lon, code), their number, and the codes at which the curve is cut."""
+
+    coded: DataFrame
+    n: int
+    cuts: np.ndarray
 
-    queries and points: distinct rows (lat, lon) of usable coordinates. Empty inputs give no pair.
-    """
+
+def sections(points: DataFrame) -> Sections:
+    """points: distinct rows (lat, lon) of usable coordinates."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(code=curve_code(pdf.lat.to_numpy(), pdf.lon.to_numpy()))
 
     coded = cut_lineage(points.mapInPandas(encode, "lat double, lon double, code long"))
-    steps = [i / MOST_SECTIONS for i in range(1, MOST_SECTIONS)]
-    n, quantiles = coded.agg(F.count(F.lit(1)), F.percentile_approx("code", steps, 20_000)).first()
-    if not n:
+    n = coded.count()
+    wanted = min(MOST_SECTIONS, -(-n // SECTION_POINTS))
+    if wanted <= 1:
+        return Sections(coded, n, np.array([], "int64"))
+    at = coded.agg(F.percentile_approx("code", [i / wanted for i in range(1, wanted)], 20_000)).first()[0]
+    return Sections(coded, n, np.unique(np.array(at, "int64")))
+
+
+def place_pairs(queries: DataFrame, points: DataFrame | Sections, km: float) -> DataFrame:
+    """Pairs of places (q_lat, q_lon, p_lat, p_lon, km) at most km apart.
+
+    queries and points: distinct rows (lat, lon) of usable coordinates; points may be given as their sections, to be
+    searched more than once. Empty inputs give no pair.
+    """
+    cut = points if isinstance(points, Sections) else sections(points)
+    coded, cuts = cut.coded, cut.cuts
+    if not cut.n:
         return coded.sparkSession.createDataFrame([], _PAIR)
-    sections = min(MOST_SECTIONS, max(1, -(-n // SECTION_POINTS)))
-    cuts = np.unique(np.array(quantiles, "int64")[[i * MOST_SECTIONS // sections - 1 for i in range(1, sections)]]) if sections > 1 else np.array([], "int64")
 
     def cover(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import cell, haversine_km, usable
 from ..session import cut_lineage, maybe_broadcast
-from .proximity import place_pairs
+from .proximity import place_pairs, sections
 
 
 def _located(df: DataFrame, key: str, prefix: str, *also: str) -> DataFrame:
@@ -56,20 +56,21 @@ def nearest_within(queries: DataFrame, points: DataFrame, query_id: str, point_i
 def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, start_km: float = 5.0) -> DataFrame:
     """(q_id, p_id, km): the nearest point of each located query, however far; ties by the smaller id.
 
-    The distance is doubled for those that found none, up to half the earth, so few queries see far points. No points
+    The distance grows eightfold for those that found none, up to half the earth, so few queries see far points. No points
     give no rows.
     """
-    asked = _located(queries, query_id, "q").select(F.col("q_id").alias("id"), F.col("q_lat").alias("lat"), F.col("q_lon").alias("lon"))
-    asked = cut_lineage(asked)
-    if points.filter(usable(F.col("lat"), F.col("lon"))).limit(1).count() == 0:
-        return nearest_within(asked, points, "id", point_id, start_km, inclusive=True)
-    found, km = None, start_km
-    while km < 40_000 and asked.limit(1).count():
-        some = cut_lineage(nearest_within(asked, points, "id", point_id, min(km, 20_100.0), inclusive=True))
+    asked = cut_lineage(_located(queries, query_id, "q"))
+    there = cut_lineage(_located(points, point_id, "p"))
+    cut = sections(_places(there, "p"))
+    found, km, order = None, start_km, F.struct("km", "p_id")
+    while found is None or (cut.n and km < 160_000 and asked.limit(1).count()):
+        pairs = place_pairs(_places(asked, "q"), cut, min(km, 20_100.0)).hint("merge")
+        rows = pairs.join(asked, ["q_lat", "q_lon"]).hint("merge").join(there, ["p_lat", "p_lon"])
+        some = cut_lineage(rows.groupBy("q_id").agg(F.min_by(F.struct("p_id", "km"), order).alias("_b")).select("q_id", "_b.p_id", "_b.km"))
         found = some if found is None else found.unionByName(some)
-        asked = cut_lineage(asked.join(some.select(F.col("q_id").alias("id")), "id", "left_anti"))
-        km *= 4
-    return found if found is not None else nearest_within(asked, points, "id", point_id, start_km)
+        asked = cut_lineage(asked.join(some.select("q_id"), "q_id", "left_anti"))
+        km *= 8
+    return found
 
 
 def gathered(centres: DataFrame, points: DataFrame, centre_id: str, point_id: str, km: float, weight: str | None = None) -> DataFrame:

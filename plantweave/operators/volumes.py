@@ -16,8 +16,8 @@ AGGREGATES = ["control_reserve", "substation", "regional_renewable", "countertra
 
 
 def exact_sum(c: Column | str) -> Column:
-    """A sum of volumes that doesn't depend on the order in which partitions arrive."""
-    return F.sum(F.col(c).cast("decimal(24,6)") if isinstance(c, str) else c.cast("decimal(24,6)")).cast("double")
+    """A sum of volumes that doesn't depend on the order in which partitions arrive: of whole millionths."""
+    return F.sum(F.round((F.col(c) if isinstance(c, str) else c) * 1e6).cast("long")) / 1e6
 
 
 def volumes(events: DataFrame) -> DataFrame:
@@ -26,12 +26,14 @@ def volumes(events: DataFrame) -> DataFrame:
     inc and dec hold the volume of calls whose direction says up or down, found by the part of the word that every
     spelling shares.
     """
+    # inline() works each field out once; a filter over plain columns would be pushed below and repeat them.
     wall = written_moment(F.col("beginn_datum"), F.col("beginn_uhrzeit"))
     mwh = F.abs(decimal_comma(F.col("gesamte_arbeit_mwh")))
     direction = F.lower(F.coalesce("richtung", F.lit("")))
-    out = events.select(filled(F.col("betroffene_anlage")).alias("name"), local_day(wall, F.col("zeitzone_von")).alias("day"), written_year(F.col("beginn_datum")).alias("year"), mwh.alias("mwh"), direction.alias("_d"))
-    out = out.dropna(subset=["day", "mwh"])
-    return out.select("name", "day", "year", "mwh", F.when(F.contains("_d", F.lit("erh")), F.col("mwh")).otherwise(0.0).alias("inc"), F.when(F.contains("_d", F.lit("reduzieren")), F.col("mwh")).otherwise(0.0).alias("dec"))
+    told = F.struct(filled(F.col("betroffene_anlage")).alias("name"), wall.alias("wall"), F.col("zeitzone_von").alias("zone"), written_year(F.col("beginn_datum")).alias("year"), mwh.alias("mwh"), F.contains(direction, F.lit("erh")).alias("up"), F.contains(direction, F.lit("reduzieren")).alias("down"))
+    rows = events.select(F.inline(F.array(told))).filter("mwh IS NOT NULL AND wall IS NOT NULL")
+    dayed = rows.select("name", "year", "mwh", "up", "down", F.explode(F.array(local_day(F.col("wall"), F.col("zone")))).alias("day")).filter("day IS NOT NULL")
+    return dayed.select("name", "day", "year", "mwh", F.when(F.col("up"), F.col("mwh")).otherwise(0.0).alias("inc"), F.when(F.col("down"), F.col("mwh")).otherwise(0.0).alias("dec"))
 
 
 def map_category(entry: Column, lat: Column, lon: Column) -> Column:

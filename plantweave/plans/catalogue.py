@@ -69,7 +69,7 @@ _ENTRY_TYPE = _rules(
     ],
     "CASE WHEN " + _several("n") + " THEN 'multi_plant' ELSE 'individual' END",
 )
-_HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))))"
+_HAV = "2 * 6371.0 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
 _DAY = r"""
 strptime_ok AS (SELECT *, CASE WHEN regexp_full_match(beginn_datum, '\d{2}\.\d{2}\.\d{4}') AND regexp_full_match(beginn_uhrzeit, '\d{2}:\d{2}')
   THEN try_strptime(beginn_datum || ' ' || beginn_uhrzeit, '%d.%m.%Y %H:%M') END AS wall FROM build_data),
