@@ -11,6 +11,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Most labelled documents that the ranker is fitted on, drawn by a hash of their key; and its size and training.
-LABELS, HASHED, EPOCHS, RATE, DECAY, SEED = 3_000, 1 << 15, 15, 0.5, 1e-5, 42
+LABELS, HASHED, EPOCHS, RATE, DECAY, SEED = 2_000, 1 << 15, 10, 0.5, 1e-5, 42
 #: Only prose of at least so many pieces between white space has a level.
 LEAST_WORDS = 25
 LONGEST = 200
@@ -48,6 +49,18 @@ FUNCTION_WORDS = {
 N_SYNTAX = 15
 
 
+@lru_cache(maxsize=200_000)
+def _kind(piece: str) -> tuple[bool, bool, bool, bool]:
+    """Whether a piece is a word, structure, strange, and a bar."""
+    return bool(_WORDLIKE.match(piece)), bool(_STRUCTURED.search(piece)), bool(_STRANGE.search(piece)), piece == "|"
+
+
+@lru_cache(maxsize=200_000)
+def _hashes(word: str) -> tuple[int, int]:
+    """Hashes of a word and of its end."""
+    return zlib.crc32(word.encode()), zlib.crc32(f"~{word[-5:]}".encode())
+
+
 def is_prose(text: str | None) -> bool:
     """Whether a text has a level at all: enough words, and neither made of fields, code, data or signs nor foreign.
 
@@ -62,10 +75,8 @@ def is_prose(text: str | None) -> bool:
     pieces = _HEADER.sub("", text).split()
     n = max(len(pieces), 1)
     # No word is longer than LONGEST; longer pieces are neutral, but for what their begin shows.
-    words = sum(len(p) <= LONGEST and bool(_WORDLIKE.match(p)) for p in pieces)
-    structure = sum(bool(_STRUCTURED.search(p[:LONGEST])) for p in pieces)
-    strange = sum(bool(_STRANGE.search(p)) for p in pieces)
-    bars = sum(p == "|" for p in pieces)
+    kinds = [_kind(p) if len(p) <= LONGEST else (False, bool(_STRUCTURED.search(p[:LONGEST])), bool(_STRANGE.search(p)), False) for p in pieces]
+    words, structure, strange, bars = map(sum, zip(*kinds, strict=True)) if kinds else (0, 0, 0, 0)
     return words >= 0.3 * n and structure <= 0.08 * n and strange <= 0.08 * n and bars <= 0.1 * n
 
 
@@ -87,15 +98,12 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         text.count("?") / s + text.count("!") / s, distinct / n,
     ])
     # Words that name a place or plant occur in few texts and teach nothing; hashing keeps the table's size fixed.
-    counts: dict[int, float] = {}
-    for a, b in zip(["", *words], words, strict=False):
-        for key in (b, f"{a} {b}", "~" + b[-5:]):
-            h = zlib.crc32(key.encode())
-            at = h % HASHED
-            counts[at] = counts.get(at, 0.0) + 1.0
-    at = np.fromiter(counts, "int64", len(counts))
-    value = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
-    return at, value / max(np.linalg.norm(value), 1e-9), syntax
+    hashes = np.array([_hashes(w) for w in words] or [(0, 0)], dtype=np.uint64)
+    single = hashes[:, 0]
+    double = (np.roll(single, 1) * np.uint64(0x9E3779B1) + single) & np.uint64(0xFFFFFFFF)
+    at, counts = np.unique(np.concatenate([single, double, hashes[:, 1]]) % np.uint64(HASHED), return_counts=True)
+    value = np.sqrt(counts)
+    return at.astype("int64"), value / max(np.linalg.norm(value), 1e-9), syntax
 
 
 def standardised(syntax: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
