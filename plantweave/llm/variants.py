@@ -44,22 +44,22 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
 
 
 def query_keys(text: str, cut: bool) -> list[str]:
+    """Keys under which a text looks for known references (k) and others (o), which may differ by at most 2 edits."""
     k = cut_edits(len(text)) if cut else edits(len(text))
-    return [f"{int(cut)}.{len(text)}.{i}.{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k))]
+    kinds = {"k": k, "o": min(k, 2)}
+    return [f"{kind}{int(cut)}.{len(text)}.{i}.{text[a : a + n]}" for kind, most in kinds.items() for i, (a, n) in enumerate(segments(len(text), most))]
 
 
-def reference_keys(text: str) -> set[str]:
+def reference_keys(text: str, known: bool) -> set[str]:
     """All keys by which a text that lies near, or is a shortened form, may find this one."""
-    out = set()
-    for length in range(max(1, len(text) - 3), len(text) + 4):
-        k = edits(length)
-        if abs(length - len(text)) <= k:
-            for i, (a, n) in enumerate(segments(length, k)):
-                out |= {f"0.{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
-    for length in range(4, len(text)):
-        k = cut_edits(length)
-        for i, (a, n) in enumerate(segments(length, k)):
-            out |= {f"1.{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
+    out, most = set(), 3 if known else 2
+    for cut, lengths in ((0, range(max(1, len(text) - most), len(text) + most + 1)), (1, range(4, len(text)))):
+        for length in lengths:
+            k = cut_edits(length) if cut else min(edits(length), most)
+            if cut or abs(length - len(text)) <= k:
+                for i, (a, n) in enumerate(segments(length, k)):
+                    for b in range(max(0, a - k), min(len(text) - n, a + k) + 1):
+                        out.add(f"{'k' if known else 'o'}{cut}.{length}.{i}.{text[b : b + n]}")
     return out
 
 
@@ -74,7 +74,7 @@ def _emit_references(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for a in range(0, len(pdf), 500):
             part = pdf.iloc[a : a + 500]
-            keys = [(t, f, w, k) for t, f, w in zip(part.text, part.known, part.weight, strict=True) for k in reference_keys(t)]
+            keys = [(t, f, w, k) for t, f, w in zip(part.text, part.known, part.weight, strict=True) for k in reference_keys(t, f)]
             yield pd.DataFrame(keys, columns=["reference", "known", "reference_weight", "key"])
 
 
@@ -108,7 +108,8 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     looked = queries.mapInPandas(_emit_queries, "text string, cut boolean, weight long, key string")
     index = whole.filter(fit).mapInPandas(_emit_references, "reference string, known boolean, reference_weight long, key string")
     # The optimizer can't know how many keys a text has: neither side may be broadcast.
-    met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut")).dropDuplicates(["text", "cut", "reference"])
+    met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
+    # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.
     near = met.withColumn("d", _distance()).filter(F.col("d").isNotNull())
     greater = F.struct("reference_weight", "reference") > F.struct(F.col("weight").alias("reference_weight"), F.col("text").alias("reference"))
     near = near.filter(F.col("known") | (F.col("d") <= 2) & (greater | F.col("cut")))
