@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import figures, text
 from ..functions.days import clock_change, local_day, written_moment
 from ..operators import components, decisions, entries, lookup, registry, similarity, spatial, volumes
-from ..session import maybe_broadcast, table
+from ..session import maybe_broadcast, shared_folder, table
+from ..sources import resolvers
+from ..streaming import daily as stream
+from . import pipeline
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,6 +62,10 @@ def _comma(x: str) -> str:
     return f"try_cast(replace({_strip(x)}, ',', '.') AS DOUBLE)"
 
 
+def _sum_sql(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(24, 6))) AS DOUBLE)"
+
+
 _ENTRY_TYPE = _rules(
     "n",
     [
@@ -605,3 +614,77 @@ def nice_legend(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = volumes.volumes(table(spark, sf_dir, "build_data")).filter(F.col("name").isNotNull()).groupBy("name").agg(F.round(volumes.exact_sum("mwh"), 3).alias("mwh"))
     legend = F.array_join(F.transform(figures.legend_values(F.col("mwh")), lambda v: F.format_string("%.4f", v)), " ")
     return t.select("name", "mwh", legend.alias("legend"), figures.energy_label(F.col("mwh")).alias("label"))
+
+
+# More of the stages
+
+@query(f"""WITH m AS (SELECT cluster_id, unnest(string_split(matched_id, ',')) AS id FROM matches_cluster WHERE matched_id IS NOT NULL)
+SELECT cluster_id, count(*) AS n_members, coalesce(array_to_string(list_sort(list(DISTINCT fueltype) FILTER (fueltype IS NOT NULL)), ','), '') AS fueltypes, {_sum_sql('capacity')} AS capacity FROM m LEFT JOIN candidate_index c ON m.id = c.id GROUP BY cluster_id""")
+def member_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the members of each cluster are: their fuels and summed capacity."""
+    members = table(spark, sf_dir, "matches_cluster").select("cluster_id", F.explode(F.split("matched_id", ",")).alias("id"))
+    joined = members.join(table(spark, sf_dir, "candidate_index").select("id", "fueltype", "capacity"), "id", "left")
+    return joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_members"), F.array_join(F.array_sort(F.collect_set("fueltype")), ",").alias("fueltypes"), volumes.exact_sum("capacity").alias("capacity"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (matched_id IS NOT NULL) AS n_matched, count(*) FILTER (lat IS NOT NULL AND lon IS NOT NULL) AS n_located, count(DISTINCT matched_id) AS n_ids, count(*) FILTER (needs_review = 'yes') AS n_review FROM matches_wikipedia""")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    review = F.coalesce(F.col("needs_review") == "yes", F.lit(False))
+    return table(spark, sf_dir, "matches_wikipedia").agg(F.count(F.lit(1)).alias("n"), F.count("matched_id").alias("n_matched"), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull()).alias("n_located"), F.count_distinct("matched_id").alias("n_ids"), F.count_if(review).alias("n_review"))
+
+
+@query("SELECT cluster_id, betroffene_anlage FROM matches_cluster WHERE matched_id IS NULL OR matched_id = '' OR confidence = 'low'")
+def residual_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are still open: without an id, or of low confidence."""
+    return table(spark, sf_dir, "matches_cluster").filter("matched_id IS NULL OR matched_id = '' OR confidence = 'low'").select("cluster_id", "betroffene_anlage")
+
+
+@query(_NEAR + ", n AS (SELECT wiki_id, id, km FROM (SELECT *, row_number() OVER (PARTITION BY wiki_id ORDER BY km, id) AS rn FROM d WHERE km < 0.5) WHERE rn = 1) SELECT CAST(m.wiki_id AS VARCHAR) AS id, n.id AS reconciled FROM matches_wikipedia m LEFT JOIN n USING (wiki_id)")
+def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Located rows reconciled with a plant strictly closer than half a kilometre, or new (null)."""
+    other = table(spark, sf_dir, "matches_wikipedia").select(F.col("wiki_id").alias("id"), "lat", "lon")
+    spine = table(spark, sf_dir, "candidate_index").select("id", "lat", "lon", F.array().cast("array<string>").alias("known"))
+    near, new = registry.filled_gaps(spine, other, F.col("known"))
+    return near.select(F.col("other_id").alias("id"), F.col("id").alias("reconciled")).unionByName(new.select("id", F.lit(None).cast("string").alias("reconciled")))
+
+
+_CROSSED = f"""{_INDEX}, cross_ AS (SELECT b.candidate, min(i.candidate) AS other FROM bn b JOIN idx i USING (norm) WHERE b.norm <> '' GROUP BY b.candidate),
+br AS (SELECT norm, coalesce(other, candidate) AS candidate, CASE WHEN other IS NULL THEN 'bnetza' ELSE 'index' END AS id_source FROM bn LEFT JOIN cross_ USING (candidate) WHERE norm IS NOT NULL AND norm <> ''),
+al AS (SELECT norm, candidate, id_source FROM idx WHERE norm IS NOT NULL AND norm <> '' UNION SELECT * FROM br)
+SELECT norm, count(DISTINCT (candidate, id_source)) AS n_candidates FROM al GROUP BY norm"""
+
+
+@query(f"WITH {_CROSSED}")
+def bridged_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each normal form when registry ids that the index also has are told by the index's id."""
+    idx = lookup.name_index(table(spark, sf_dir, "candidate_index"), "id", F.split("match_names", r" \| "), "index")
+    bn = lookup.name_index(table(spark, sf_dir, "bnetza_lookup"), "mastr_id", F.array("anzeigename"), "bnetza")
+    crossing = bn.select("candidate", "norm").join(idx.select("norm", F.col("candidate").alias("other")), "norm").select("candidate", "other")
+    both = idx.unionByName(lookup.bridged(bn, crossing)).distinct()
+    return both.groupBy("norm").agg(F.count_distinct("candidate", "id_source").alias("n_candidates"))
+
+
+@query(f"""WITH {_VOLUMES} SELECT name, day, round({_sum_sql('inc')}, 3) AS inc, round({_sum_sql('dec')}, 3) AS dec, count(*) AS n_calls FROM volumes WHERE name IS NOT NULL GROUP BY name, day""")
+def streaming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily volumes by a stream over the table's files, each run from its start."""
+    calls = stream.read_calls(spark, f"{sf_dir}/build_data.parque[t]", table(spark, sf_dir, "build_data").schema)
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    days = stream.daily_stream(calls.filter("trim(betroffene_anlage) <> ''"), late="36500 days")
+    stream.upsert_days(days, f"{folder}/days", f"{folder}/state").awaitTermination()
+    rows = stream.read_days(spark, f"{folder}/days").filter("name IS NOT NULL")
+    return rows.select("name", "day", F.round("inc", 3).alias("inc"), F.round("dec", 3).alias("dec"), "n_calls")
+
+
+@query()
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that tells a chooser each name's candidates."""
+    index = table(spark, sf_dir, "candidate_index").select(F.col("id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("fueltype").alias("cand_fueltype"), F.col("capacity").alias("cand_capacity"))
+    best = lookup.top_k(_pairs(spark, sf_dir).select("norm", F.col("id").alias("cand_id"), F.levenshtein("norm", "cand").alias("d")).withColumn("s", -F.col("d")), "norm", "s", "cand_id", 5)
+    return resolvers.prompt_lines(best.join(index, "cand_id"), "norm")
+
+
+@query()
+def pipeline_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pipeline from the raw calls to one row a name."""
+    out = pipeline.resolve(table(spark, sf_dir, "build_data"), table(spark, sf_dir, "candidate_index"), table(spark, sf_dir, "bnetza_lookup"))
+    return out.final
