@@ -101,8 +101,8 @@ def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
 
     entities: entity (unique), place, type (C: cluster), block, direction, sections, capacity (null: unknown).
     Specific registry names meet entities of a near place, the same type, block, direction and sections. Names
-    without a place meet those of their town and type by capacity: the nearest within TOLERANCE; where a capacity
-    is unknown, the only plant of the town and type. Bundles have no match. Repeated registry rows each count.
+    without a place meet those of their town and type by capacity: the nearest within TOLERANCE; if there is none, the
+    only one of unknown capacity; records without a capacity the only plant of the town and type. Bundles have no match. Repeated registry rows each count.
     Empty inputs give no pair. confidence: high, medium, low or none, by LEVELS.
     """
     entities = cut_lineage(entities.select("entity", "place", "type", "block", "direction", "sections", "capacity").filter("place <> ''"))
@@ -131,12 +131,18 @@ def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
     found = asked.select("mastr_id", "l", "type", "town_dice", "net", "class").join(sized, ["l", "type", "class"]).withColumn("gap", gap).filter(F.col("gap") <= math.log1p(TOLERANCE))
     closest = found.groupBy("mastr_id").agg(F.min("gap").alias("least"))
     found = found.join(closest, "mastr_id").filter(F.col("gap") <= F.col("least") + 1e-12).drop("least")
-    only = side.groupBy("l", "type").agg(F.count(F.lit(1)).alias("_n"), *[F.min(c).alias(c) for c in ("entity", "block", "direction", "sections", "capacity")]).filter("_n = 1").drop("_n")
-    told = blank.filter(F.size("types") <= 2)
-    alone = told.join(found.select("mastr_id").distinct(), "mastr_id", "left_anti").select("mastr_id", "l", "type", "town_dice", "net").join(only, ["l", "type"]).filter("net IS NULL OR capacity IS NULL").withColumn("gap", F.lit(None).cast("double"))
-    columns = ["entity", "mastr_id", "l", "type", "block", "direction", "sections", "name_dice", "town_dice", "gap", "generic"]
+    # Without a fit, the only plant that may be meant: of unknown capacity, or of any if the record tells none.
+    blankness = F.col("capacity").isNull()
+    first = lambda cond: F.min(F.when(cond, F.struct("entity", "block", "direction", "sections")))
+    few = side.groupBy("l", "type").agg(F.count(F.lit(1)).alias("n_all"), first(F.lit(True)).alias("any"), F.count_if(blankness).alias("n_unknown"), first(blankness).alias("unknown"))
+    told = blank.filter(F.size("types") <= 2).join(found.select("mastr_id").distinct(), "mastr_id", "left_anti").join(few, ["l", "type"])
+    sized_net = F.col("net").isNotNull()
+    told = told.withColumn("n", F.when(sized_net, F.col("n_unknown")).otherwise(F.col("n_all"))).withColumn("e", F.when(sized_net, F.col("unknown")).otherwise(F.col("any"))).filter("n > 0")
+    single = told.groupBy("mastr_id").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in ("l", "type", "town_dice", "e")]).filter("n = 1")
+    alone = single.select("mastr_id", "l", "type", "town_dice", "e.*").withColumn("gap", F.lit(None).cast("double")).withColumn("left_over", F.lit(True))
+    columns = ["entity", "mastr_id", "l", "type", "block", "direction", "sections", "name_dice", "town_dice", "gap", "generic", "left_over"]
     loose = found.unionByName(alone, allowMissingColumns=True).withColumn("name_dice", F.lit(None).cast("double")).withColumn("generic", F.lit(True))
-    pairs = specific.select(*columns).unionByName(loose.select(*columns))
+    pairs = specific.withColumn("left_over", F.lit(None).cast("boolean")).select(*columns).unionByName(loose.select(*columns))
 
     # Chances of agreement, from the frequencies of all entities; a handful of numbers.
     n = entities.count()
@@ -151,11 +157,14 @@ def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
         return similarity * math.log(AGREE / u) + (1 - similarity) * math.log((1 - AGREE) / (1 - u * 0.999))
 
     zero = F.lit(0.0)
-    place = F.greatest(F.coalesce(weight("place", F.col("name_dice")), zero), F.coalesce(weight("place", F.col("town_dice")), zero))
+    # Near places are by chance hardly more frequent than equal ones, so a lower Dice counts half.
+    near_place = lambda c: F.coalesce(weight("place", (1 + F.col(c)) / 2), zero)
+    place = F.greatest(near_place("name_dice"), near_place("town_dice"))
     also = F.when(F.col("name_dice").isNotNull() & F.col("town_dice").isNotNull(), F.lit(2.0)).otherwise(zero)
     score = place + also + weight("type", F.lit(1.0)) + F.when(F.col("generic"), zero).otherwise(weight("block", F.lit(1.0)) + weight("direction", F.lit(1.0)) + weight("sections", F.lit(1.0)))
     similar = F.greatest(zero, 1 - F.col("gap") / (2 * math.log1p(TOLERANCE)))
-    score = score + F.coalesce(weight("capacity", similar), zero)
+    # That no other plant of the town fits tells about as much as a capacity that fits roughly.
+    score = score + F.coalesce(weight("capacity", similar), F.when(F.col("left_over"), weight("capacity", F.lit(0.9))), zero)
     prior = -math.log(n)
     scored = pairs.withColumn("score", score).withColumn("probability", 1 / (1 + F.exp(-(F.col("score") + F.lit(prior)))))
     level = F.lit("none")

@@ -48,8 +48,10 @@ def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     cluster = table(spark, sf_dir, "matches_cluster").select(F.struct(F.lit("cluster").alias("rec_kind"), F.col("cluster_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
     rows, plants = name_entities(exact.unionByName(cluster), table(spark, sf_dir, "candidate_index"))
     rows = cut_lineage(rows.filter("n_parts = 1"))
-    entities = rows.groupBy("entity").agg(*[F.first(c).alias(c) for c in ("place", "type", "block", "direction", "sections")])
-    entities = entities.join(plants.groupBy("entity").agg(F.max("capacity").alias("capacity")), "entity", "left")
+    # Plants of the index without a row take part, so that a record isn't given to the next best plant.
+    fields = ["entity", "place", "type", "block", "direction", "sections"]
+    known = plants.select(*fields, "capacity").unionByName(rows.select(*fields, F.lit(None).cast("double").alias("capacity")))
+    entities = known.groupBy("entity").agg(*[F.first(c).alias(c) for c in fields[1:]], F.max("capacity").alias("capacity"))
     pairs = match_entities(entities, table(spark, sf_dir, "bnetza_lookup"))
     return rows.select("rec.rec_kind", "rec.rec_id", "entity").join(pairs, "entity").drop("entity")
 
