@@ -162,7 +162,7 @@ def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
     place = F.greatest(near_place("name_dice"), near_place("town_dice"))
     also = F.when(F.col("name_dice").isNotNull() & F.col("town_dice").isNotNull(), F.lit(2.0)).otherwise(zero)
     score = place + also + weight("type", F.lit(1.0)) + F.when(F.col("generic"), zero).otherwise(weight("block", F.lit(1.0)) + weight("direction", F.lit(1.0)) + weight("sections", F.lit(1.0)))
-    similar = F.greatest(zero, 1 - F.col("gap") / (2 * math.log1p(TOLERANCE)))
+    similar = F.when(F.col("gap").isNotNull(), F.greatest(zero, 1 - F.col("gap") / (2 * math.log1p(TOLERANCE))))  # greatest() passes over nulls
     # That no other plant of the town fits tells about as much as a capacity that fits roughly.
     score = score + F.coalesce(weight("capacity", similar), F.when(F.col("left_over"), weight("capacity", F.lit(0.9))), zero)
     prior = -math.log(n)
