@@ -29,15 +29,15 @@ WIDE = "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x
 SINGLE = GERMAN + "éèáàãõøåæçñÉÈÁÀÃÕØÅÆÇÑ"
 #: Paths kept a word and channel.
 PATHS = 16
-#: Log priors: of a word that was spoiled, of one that becomes no word of the corpus, of a question mark that was added,
+#: Log priors: of a word that was spoiled, more by a multi-byte channel, less for one that becomes no word of the corpus, of a question mark that was added,
 #: of a foreign letter and of a sign inside a word.
-SPOILED, UNKNOWN, ADDED, FOREIGN, SIGN = -6.0, -3.0, -4.0, -12.0, -16.0
+SPOILED, SURE, UNKNOWN, ADDED, FOREIGN, SIGN = -6.0, 4.0, -3.0, -4.0, -12.0, -16.0
 
 #: Values that hold none of these are written in plain German letters and can't be spoiled.
 SUSPICIOUS = r"[^\x{0}-\x{7E}äöüÄÖÜß]|\?"
 
 _BETWEEN = regex.compile(r"(?:(?<![ÂâÃãÅåÄäŠš┬├√])\xa0|[\s　 -  --\xa0\x85]|[(){}\[\].,;:/+&*_\"'|<>=!-])+", regex.V1)
-_INVISIBLE = regex.compile(r"(?<![ÂâÃãÅåƒ┬├√])\xad|[​-‏⁠]")
+_INVISIBLE = regex.compile(r"\xad|[​-‏⁠]")
 _CERTAIN = regex.compile(r"[�﻿\x7f-\x84\x86-\x9f─-◿√]|ï»¿|Ï»¿")
 _MIXED = regex.compile(r"(?=.*\p{Latin})(?=.*[\p{Cyrillic}\p{Han}\p{Hangul}\p{Katakana}\p{Greek}])")
 _QUOTES = "„“”‚‘’«»–—…"
@@ -76,7 +76,7 @@ def channels() -> dict[str, dict[str, tuple[str, ...]]]:
         if not seen or seen == letter or seen.isascii():
             return
         for form in {seen, seen.lower(), seen.upper(), seen.swapcase()}:
-            if not any(c in GERMAN for c in form) and not (len(form) == 1 and form in SINGLE and form.swapcase() == letter):
+            if any(ord(c) > 126 and c not in GERMAN for c in form) and not (len(form) == 1 and form in SINGLE and form.swapcase() == letter):
                 out.setdefault(channel, {}).setdefault(form, set()).add(letter)
 
     for reader in ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "cp1251"):
@@ -239,11 +239,13 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                 if clean != word:
                     out.append((word, clean, "byte order mark", fold(clean), SPOILED + model.score(fold(clean)), SPOILED, certain))
                 for channel in channels():
+                    # Sequences of two and more signs hardly come together by chance.
+                    sure = SURE if channel.startswith("utf-8") else 0.0
                     for score, text in paths(clean, channel, model):
                         if text not in seen:
                             seen.add(text)
                             left = sum(FOREIGN if _is_letter(c) else SIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
-                            out.append((word, text, channel, fold(text), SPOILED + UNKNOWN * letters + score + left, SPOILED + left, certain))
+                            out.append((word, text, channel, fold(text), SPOILED + sure + UNKNOWN * letters + score + left, SPOILED + sure + left, certain))
             yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"])
 
     return run
@@ -281,17 +283,19 @@ def spoiled_values(values: DataFrame) -> DataFrame:
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(folded=[fold(w) for w in pdf.word])[["folded", "n"]]
+            yield pdf.assign(folded=[fold(w) if plain or all(_is_letter(c) for c in _bare(w)) else "" for w, plain in zip(pdf.word, pdf.plain, strict=True)])[["folded", "plain", "n"]]
 
-    words = parts.select(F.explode("words").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
-    lexicon = cut_lineage(words.mapInPandas(folded, "folded string, n long").groupBy("folded").agg(F.sum("n").alias("n")).filter("folded <> ''"))
+    # Words with foreign letters are known as well, but only as readings of others.
+    words = parts.select(F.explode("words").alias("word"), F.lit(True).alias("plain"), "n").unionByName(parts.select(F.explode("odd").alias("word"), F.lit(False).alias("plain"), "n"))
+    words = words.groupBy("word", "plain").agg(F.sum("n").alias("n"))
+    lexicon = cut_lineage(words.mapInPandas(folded, "folded string, plain boolean, n long").filter("folded <> ''").groupBy("folded").agg(F.sum("n").alias("n"), F.max("plain").alias("plain")))
     total = lexicon.agg(F.sum("n")).first()[0] or 1
     # At most 34^3 rows: the alphabet, a digit, another sign and the borders.
-    grams = {r.gram: r.n for r in lexicon.mapInPandas(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    grams = {r.gram: r.n for r in lexicon.filter("plain").select("folded", "n").mapInPandas(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
     odd = parts.select(F.explode("odd").alias("word")).distinct()
     readings = odd.mapInPandas(_candidates(grams), _CANDIDATE)
-    scored = readings.join(lexicon, "folded", "left").withColumn("score", F.greatest("by_model", F.col("prior") + F.log(F.col("n") / F.lit(float(total)))))
+    scored = readings.join(lexicon.select("folded", "n"), "folded", "left").withColumn("score", F.greatest("by_model", F.col("prior") + F.log(F.col("n") / F.lit(float(total)))))
     best = F.max_by(F.struct("reading", "channel", "score"), F.struct("score", "reading"))
     verdict = scored.groupBy("word").agg(best.alias("b"), F.max_by("reading", F.when(F.col("channel") != "", F.struct("score", "reading"))).alias("other"), F.max("certain").alias("certain"))
     bad = cut_lineage(verdict.filter(F.col("certain") | (F.col("b.channel") != "")).select("word", F.coalesce("other", "word").alias("restored")))

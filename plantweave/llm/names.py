@@ -122,7 +122,9 @@ class Part:
 
 
 _SECTION = regex.compile(r"\bt ?5\d\d(?:\s*[/+&,]?\s*(?:t ?)?5\d\d\b)*")
-_PAIRED = regex.compile(r"(?<!\d)(\d{1,2})\s*(?:/|\+|&|\bund\b|\bu\.)\s*(\d{1,2})(?!\d)")
+_PAIRED = regex.compile(r"(?<!\d)(\d{1,2})[\s–-]*(?:/|\+|&|\bund(?!\p{L})|\bu\.)[\s–-]*(\d{1,2})(?!\d)")
+#: The second number of a pair that was moved to the front.
+_TORN = regex.compile(r"^\W*(\d{1,2})(?!\d)[\s,;]+(.*\d)[\s–-]*(?:/|\+|&|\bund)\W*$", regex.S)
 _ITEM = regex.compile(r"\x01[\d ]+\x01|\x02\d+/\d+|[\p{L}\p{M}]+(?:-(?=\p{L})[\p{L}\p{M}]+)*\.?|\d+|[,/+&;]")
 _JOINS = frozenset(",/+&;")
 
@@ -131,6 +133,7 @@ def _items(name: str) -> list[tuple[str, str]]:
     """(kind, value) of all that a name is made of, in order."""
     text = unicodedata.normalize("NFC", _INVISIBLE.sub("", name))
     text = fold(regex.sub(r"[\s_*\"'„“”‚‘’?]+", " ", text))
+    text = _TORN.sub(r"\2/\1", text)
     text = _SECTION.sub(lambda m: " \x01" + " ".join(sorted(set(regex.findall(r"5\d\d", m[0])))) + "\x01 ", text)
     text = _PAIRED.sub(lambda m: f" \x02{m[1]}/{m[2]} ", text)
     out: list[tuple[str, str]] = []
@@ -230,8 +233,8 @@ def _part(items: list[tuple[str, str]]) -> Part:
 def parse(name: str | None) -> tuple[Part, ...]:
     """The plants that a name tells, one for most names, more for a bundle; none for null and blank names.
 
-    A name is a bundle if its separators part it into pieces with a place each. A piece without a place at either
-    end was moved there from the other end and belongs to it.
+    A name is a bundle if its separators part it into pieces with a place each. Pieces without a place, which may have
+    been moved from one end to the other, belong to their neighbours.
     """
     items = _items(name) if name else []
     if not items:
@@ -246,16 +249,13 @@ def parse(name: str | None) -> tuple[Part, ...]:
     placed = [any(k in ("word", "cut") for k, _ in p) for p in pieces]
     if sum(placed) < 2:
         return (_part([x for p in pieces for x in p]),) if pieces else ()
-    whole: list[list[tuple[str, str]]] = []
-    loose: list[tuple[str, str]] = []
-    for p, has in zip(pieces, placed, strict=True):
-        if has:
-            whole.append(p)
-        elif whole:
-            loose += p
-        else:
-            loose = p + loose
-    if loose:
-        first_loose = not placed[0]
-        whole[-1 if first_loose else 0] = whole[-1 if first_loose else 0] + loose
-    return tuple(_part(p) for p in whole)
+    # In a circle, a type without a place belongs to the next place, if that has none, anything else to the one before.
+    at = [i for i, has in enumerate(placed) if has]
+    whole = {i: list(pieces[i]) for i in at}
+    for i, piece in enumerate(pieces):
+        if not placed[i]:
+            after = min((j for j in at if j > i), default=at[0])
+            before = max((j for j in at if j < i), default=at[-1])
+            typed = any(k == "type" for k, _ in piece) and not any(k == "type" for k, _ in whole[after])
+            whole[after if typed else before] += piece
+    return tuple(_part(p) for p in whole.values())

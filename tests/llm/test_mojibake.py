@@ -22,9 +22,12 @@ SPOILED = [
     ("Solarpark K�hlm�hle", "Solarpark Köhlmühle"),
     ("Solarpark K?hlm?hle", "Solarpark Köhlmühle"),
     ("Wirkleistungseinspeisung erh鰄en", "Wirkleistungseinspeisung erhöhen"),
+    (spoil("Übergabewert Straße", "utf-8", "mac_roman"), "Übergabewert Straße"),
+    (spoil("BGA Škovar", "utf-8", "cp437"), "BGA Škovar"),
+    ("Park Br�o", "Park Brão"),
     ("ï»¿Windpark Süderbrücke Nord", "Windpark Süderbrücke Nord"),
 ]
-KEPT = ["Windpark Suederbruecke Nord", "Windpark Suderbrucke Nord", "BGA Škovar", "BGA ŠKOVAR", "Park Brão", "Tælvik Énorix", "Windpark Süderbrücke Nord ?", "Windpark Süderbrücke Nord?", "Wind\xadpark\xa0Köhlmühle – „Nord“", "", " "]
+KEPT = ["Park brã\xado", "Windpark Suederbruecke Nord", "Windpark Suderbrucke Nord", "BGA Škovar", "BGA ŠKOVAR", "Park Brão", "Tælvik Énorix", "Windpark Süderbrücke Nord ?", "Windpark Süderbrücke Nord?", "Wind\xadpark\xa0Köhlmühle – „Nord“", "", " "]
 
 
 def test_finds_and_restores(spark):

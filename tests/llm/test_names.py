@@ -19,6 +19,8 @@ def test_parse():
     assert {tuple(sig(n)) for n in same} == {((fold("Köhlmühle"), "WP", False, "4", "", ""),)}
     assert sig("NLT EE-Cluster Altheim Süd T531/541") == sig("Altheim Sd. Cluster T541 T531") == [("altheim", "", True, "", "S", "531 541")]
     assert sig("WP Altheim 1/2") == sig("Altheim Windpark Block 1 & 2") != sig("WP Altheim 12")
+    assert len({tuple(sig(n)) for n in ["KW Altheim Block 2/3", "Altheim KW Block2 und3", "3, KW Altheim Block 2 und", "Block-2 – & 3 KW Altheim"]}) == 1
+    assert sorted(sig("Altheim 23; HKW, Neudorf, PVA;")) == sorted(sig("HKW Neudorf, PVA Altheim 23"))
     assert len(parse("WP Altheim A, KW Neudorf 2/3 + BGA Zell")) == 3
     assert sorted(sig("Altheim A, KW Neudorf, WP")) == sorted(sig("WP Altheim A, KW Neudorf"))
     assert parse(None) == parse("") == parse(" ?") == ()
