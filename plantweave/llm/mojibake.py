@@ -246,12 +246,12 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                             seen.add(text)
                             left = sum(FOREIGN if _is_letter(c) else SIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
                             out.append((word, text, channel, fold(text), SPOILED + sure + UNKNOWN * letters + score + left, SPOILED + sure + left, certain))
-            yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"])
+            yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"]).assign(own=lambda x: [fold(w) for w in x.word])
 
     return run
 
 
-_CANDIDATE = "word string, reading string, channel string, folded string, by_model double, prior double, certain boolean"
+_CANDIDATE = "word string, reading string, channel string, folded string, by_model double, prior double, certain boolean, own string"
 
 
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,7 +295,11 @@ def spoiled_values(values: DataFrame) -> DataFrame:
 
     odd = parts.select(F.explode("odd").alias("word")).distinct()
     readings = odd.mapInPandas(_candidates(grams), _CANDIDATE)
-    scored = readings.join(lexicon.select("folded", "n"), "folded", "left").withColumn("score", F.greatest("by_model", F.col("prior") + F.log(F.col("n") / F.lit(float(total)))))
+    own = lexicon.select(F.col("folded").alias("own"), F.col("n").alias("n_own"))
+    scored = readings.join(lexicon, "folded", "left").join(own, "own", "left")
+    # A reading with foreign letters counts only if it is far more frequent than the word as it stands.
+    counts = F.col("plain") | (F.col("n") > 3 * F.coalesce("n_own", F.lit(0)))
+    scored = scored.withColumn("score", F.greatest("by_model", F.when(counts, F.col("prior") + F.log(F.col("n") / F.lit(float(total))))))
     best = F.max_by(F.struct("reading", "channel", "score"), F.struct("score", "reading"))
     verdict = scored.groupBy("word").agg(best.alias("b"), F.max_by("reading", F.when(F.col("channel") != "", F.struct("score", "reading"))).alias("other"), F.max("certain").alias("certain"))
     bad = cut_lineage(verdict.filter(F.col("certain") | (F.col("b.channel") != "")).select("word", F.coalesce("other", "word").alias("restored")))

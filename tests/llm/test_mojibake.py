@@ -31,9 +31,9 @@ KEPT = ["Park brã\xado", "Windpark Suederbruecke Nord", "Windpark Suderbrucke N
 
 
 def test_finds_and_restores(spark):
-    rows = [*CLEAN, *[(s, 1) for s, _ in SPOILED], *[(k, 1) for k in KEPT if k not in dict(CLEAN)], (None, 5)]
+    rows = [*CLEAN, ("Park BrÆo", 2), *[(s, 1) for s, _ in SPOILED], *[(k, 1) for k in KEPT if k not in dict(CLEAN)], (None, 5)]
     got = {r.value: r.restored for r in spoiled_values(spark.createDataFrame(rows, "value string, n long")).collect()}
-    assert got == dict(SPOILED)
+    assert got == dict(SPOILED) | {"Park BrÆo": "Park Brão"}  # ã of one code page read in another
 
 
 def test_rows_of_columns(spark):
