@@ -4,6 +4,7 @@ If two texts differ by at most k edits and one is cut into k + 1 segments, at le
 unchanged, at most k characters off its place. An inverted index holds the substrings of the reference texts that
 can meet a segment; texts look up their segments there by an equality join, and what they meet is verified by an
 edit distance in a band of width k. Shortened texts look up their segments among the beginnings of reference texts.
+The search goes in stages of growing k, as few long segments are far more selective than many short ones.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from ..session import cut_lineage
 ONE, TWO, THREE = 5, 8, 12
 #: Longer texts are no names; they stand for themselves.
 LONGEST = 64
-_KEY = "text string, key string"
 
 
 def edits(length: int) -> int:
@@ -43,39 +43,73 @@ def segments(length: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def query_keys(text: str, cut: bool) -> list[str]:
-    """Keys under which a text looks for known references (k) and others (o), which may differ by at most 2 edits."""
-    k = cut_edits(len(text)) if cut else edits(len(text))
-    kinds = {"k": k, "o": min(k, 2)}
-    return [f"{kind}{int(cut)}.{len(text)}.{i}.{text[a : a + n]}" for kind, most in kinds.items() for i, (a, n) in enumerate(segments(len(text), most))]
+def _cut_up(kind: str, text: str, k: int) -> list[str]:
+    return [f"{kind}{len(text)}.{i}.{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k))]
 
 
-def reference_keys(text: str, known: bool) -> set[str]:
-    """All keys by which a text that lies near, or is a shortened form, may find this one."""
-    out, most = set(), 3 if known else 2
-    for cut, lengths in ((0, range(max(1, len(text) - most), len(text) + most + 1)), (1, range(4, len(text)))):
-        for length in lengths:
-            k = cut_edits(length) if cut else min(edits(length), most)
-            if cut or abs(length - len(text)) <= k:
-                for i, (a, n) in enumerate(segments(length, k)):
-                    for b in range(max(0, a - k), min(len(text) - n, a + k) + 1):
-                        out.add(f"{'k' if known else 'o'}{cut}.{length}.{i}.{text[b : b + n]}")
+def query_keys(text: str, cut: bool, stage: int) -> list[str]:
+    """The keys of a text in a stage of the search.
+
+    1: the text as begin of a known one, and two segments. 2: three segments among known texts; the segments of a
+    shortened text. 3: four segments among known texts, three among others, and begins of others.
+    """
+    n = len(text)
+    if stage == 1:
+        return [f"b{text}", *([] if cut else _cut_up("1.", text, min(1, edits(n))))]
+    if stage == 2:
+        return _cut_up("c.", text, cut_edits(n)) if cut else _cut_up("2.", text, min(2, edits(n)))
+    return [f"ob{text}", *_cut_up("oc.", text, cut_edits(n))] if cut else [f"ob{text}", *_cut_up("3.", text, edits(n)), *_cut_up("o.", text, min(2, edits(n)))]
+
+
+def _may_meet(kind: str, text: str, most: int) -> set[str]:
+    """Substrings where a segment of a text within most edits may lie."""
+    out = set()
+    for length in range(max(1, len(text) - most), len(text) + most + 1):
+        k = min(most, edits(length))
+        if abs(length - len(text)) <= k:
+            for i, (a, n) in enumerate(segments(length, k)):
+                out |= {f"{kind}{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
+    return out
+
+
+def _may_begin(kind: str, text: str) -> set[str]:
+    """Substrings where a segment of a shortened form may lie."""
+    out = set()
+    for length in range(4, len(text)):
+        k = cut_edits(length)
+        for i, (a, n) in enumerate(segments(length, k)):
+            out |= {f"{kind}{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
     return out
 
 
-def _emit_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = zip(pdf.text, pdf.cut, pdf.weight, strict=True)
-        keys = [(t, c, w, k) for t, c, w in rows for k in (query_keys(t, True) if c else [*query_keys(t, False), *query_keys(t, True)])]
-        yield pd.DataFrame(keys, columns=["text", "cut", "weight", "key"])
+def reference_keys(text: str, known: bool, stage: int) -> set[str]:
+    """All keys of a stage by which a text that lies near, or is a shortened form, may find this one."""
+    begins = {text[:n] for n in range(4, len(text))}
+    if stage == 1:
+        return {f"b{x}" for x in begins} | _may_meet("1.", text, 1) if known else set()
+    if stage == 2:
+        return _may_begin("c.", text) | _may_meet("2.", text, 2) if known else set()
+    return _may_meet("3.", text, 3) if known else {f"ob{x}" for x in begins} | _may_begin("oc.", text) | _may_meet("o.", text, 2)
+
+
+def _emit_queries(stage: int):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = zip(pdf.text, pdf.cut, pdf.weight, strict=True)
+            yield pd.DataFrame([(t, c, w, k) for t, c, w in rows for k in query_keys(t, c, stage)], columns=["text", "cut", "weight", "key"])
+
+    return run
+
 
+def _emit_references(stage: int):  # noqa: ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                part = pdf.iloc[a : a + 500]
+                keys = [(t, f, w, k) for t, f, w in zip(part.text, part.known, part.weight, strict=True) for k in reference_keys(t, f, stage)]
+                yield pd.DataFrame(keys, columns=["reference", "known", "reference_weight", "key"])
 
-def _emit_references(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for a in range(0, len(pdf), 500):
-            part = pdf.iloc[a : a + 500]
-            keys = [(t, f, w, k) for t, f, w in zip(part.text, part.known, part.weight, strict=True) for k in reference_keys(t, f)]
-            yield pd.DataFrame(keys, columns=["reference", "known", "reference_weight", "key"])
+    return run
 
 
 def _distance() -> Column:
@@ -105,17 +139,23 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     whole = texts.filter(~F.col("cut")).withColumnRenamed("text", "_t").select(F.col("_t").alias("text"), "known", "weight")
     fit = F.length("text").between(4, LONGEST)
     queries = texts.filter(~(F.col("known") & ~F.col("cut")) & fit)
-    looked = queries.mapInPandas(_emit_queries, "text string, cut boolean, weight long, key string")
-    index = whole.filter(fit).mapInPandas(_emit_references, "reference string, known boolean, reference_weight long, key string")
-    # The optimizer can't know how many keys a text has: neither side may be broadcast.
-    met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
-    # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.
-    near = met.withColumn("d", _distance()).filter(F.col("d").isNotNull())
     greater = F.struct("reference_weight", "reference") > F.struct(F.col("weight").alias("reference_weight"), F.col("text").alias("reference"))
-    near = near.filter(F.col("known") | (F.col("d") <= 2) & (greater | F.col("cut")))
     order = F.struct((~F.col("known")).alias("u"), "d", (-F.col("reference_weight")).alias("w"), "reference")
-    best = near.groupBy("text", "cut").agg(F.min_by(F.struct("reference", "known"), order).alias("b"))
-    linked = texts.join(best, ["text", "cut"], "left").select("text", "cut", F.coalesce("b.reference", "text").alias("canonical"), (F.coalesce(F.col("b.known"), F.lit(False)) | (F.col("known") & ~F.col("cut"))).alias("is_known"))
+    found = None
+    # What lies within the bound of a stage is found in it for certain, and later stages look farther but for fewer texts.
+    for stage, settled in ((1, 1.5), (2, 2.0), (3, 3.0)):
+        references = whole.filter(fit) if stage == 3 else whole.filter(fit & F.col("known"))
+        looked = queries.mapInPandas(_emit_queries(stage), "text string, cut boolean, weight long, key string")
+        index = references.mapInPandas(_emit_references(stage), "reference string, known boolean, reference_weight long, key string")
+        # The optimizer can't know how many keys a text has: neither side may be broadcast.
+        met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
+        # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.
+        near = met.withColumn("d", _distance()).filter(F.col("d") <= settled)
+        near = near.filter(F.col("known") | (F.col("d") <= 2) & (greater | F.col("cut")))
+        best = cut_lineage(near.groupBy("text", "cut").agg(F.min_by(F.struct("reference", "known"), order).alias("b")))
+        found = best if found is None else found.unionByName(best)
+        queries = cut_lineage(queries.join(best.select("text", "cut"), ["text", "cut"], "left_anti"))
+    linked = texts.join(found, ["text", "cut"], "left").select("text", "cut", F.coalesce("b.reference", "text").alias("canonical"), (F.coalesce(F.col("b.known"), F.lit(False)) | (F.col("known") & ~F.col("cut"))).alias("is_known"))
     linked = cut_lineage(linked)
     for _ in range(40):  # ends when nothing changes; each round halves the chains
         to = linked.filter(~F.col("cut")).select(F.col("text").alias("canonical"), F.col("canonical").alias("_next"), F.col("is_known").alias("_known"))

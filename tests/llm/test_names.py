@@ -51,9 +51,9 @@ def test_pigeonhole_loses_nothing():
             rng.choice([lambda: b.insert(at, "x"), lambda: b.__setitem__(at, "y"), lambda: b.pop(at)])()
         b = "".join(b)
         k = (len(a) >= 5) + (len(a) >= 8) + (len(a) >= 12)
-        for known, most in ((True, k), (False, min(k, 2))):
-            if distance(a, b) <= most:
-                assert set(query_keys(a, False)) & reference_keys(b, known), (a, b)
+        for stage, known, most in ((1, True, 1), (2, True, 2), (3, True, 3), (3, False, 2)):
+            if distance(a, b) <= min(k, most):
+                assert set(query_keys(a, False, stage)) & reference_keys(b, known, stage), (a, b)
 
 
 def test_link_spellings(spark):
