@@ -11,7 +11,7 @@ from plantweave.plans import catalogue, problems
 
 ALL = {**catalogue.QUERIES, **problems.QUERIES}
 SQL = {**catalogue.SQL, **problems.SQL}
-EMPTY = {"compose_members"}
+EMPTY = {"compose_members", "residual_selection"}
 
 
 @pytest.fixture(scope="module")
