@@ -85,6 +85,13 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, row_bytes: int
     return F.broadcast(df) if size <= limit else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for steps that cost far more than the bytes of their rows tell the planner."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the session's Python workers, once, so that executors need no copy of it."""
     context = spark.sparkContext

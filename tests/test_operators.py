@@ -167,3 +167,25 @@ def test_haversine_matches_column(spark):
 
     got = spark.range(1).select(haversine_km(F.lit(50.0), F.lit(8.0), F.lit(51.0), F.lit(9.0))).first()[0]
     assert got == pytest.approx(float(haversine_np(50.0, 8.0, 51.0, 9.0)))
+
+
+def test_first_listed_and_bridge(spark):
+    rows = spark.createDataFrame([("r1", ["x", "b", "a"]), ("r2", ["x"]), ("r3", [])], "id_ string, ids array<string>")
+    names = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, name string")
+    assert [tuple(r) for r in registry.first_listed(rows, "id_", "ids", names).collect()] == [("r1", "B")]
+    bn = spark.createDataFrame([("n", "SEE1", "bnetza"), ("n", "SEE2", "bnetza")], "norm string, candidate string, id_source string")
+    crossing = spark.createDataFrame([("SEE1", "9"), ("SEE1", "7")], "candidate string, other string")
+    assert sorted(tuple(r) for r in lookup.bridged(bn, crossing).collect()) == [("n", "7", "index"), ("n", "SEE2", "bnetza")]
+
+
+def test_filled_places(spark):
+    rows = spark.createDataFrame([("a", None, None, None), ("b", 1.0, 2.0, None), ("c", None, None, "index")], "k string, lat double, lon double, coord_source string")
+    other = spark.createDataFrame([("a", 5.0, 6.0), ("b", 7.0, 8.0)], "k string, lat double, lon double")
+    got = {r.k: (r.lat, r.lon, r.coord_source) for r in decisions.filled_places(rows, other, "k").collect()}
+    assert got == {"a": (5.0, 6.0, "geocode"), "b": (1.0, 2.0, "index"), "c": (None, None, "none")}
+
+
+def test_location_check(spark):
+    rows = spark.createDataFrame([("a", 50.0, 10.0), ("b", 50.0, 10.0), ("c", 50.0, 10.0)], "k string, lat double, lon double")
+    other = spark.createDataFrame([("a", 50.1, 10.0), ("b", 52.0, 10.0)], "k string, lat double, lon double")
+    assert {r.k: r.coord_check for r in spatial.location_confirmed(rows, other, "k").collect()} == {"a": "confirmed", "b": "disagree", "c": "no_geocode"}

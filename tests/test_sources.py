@@ -78,3 +78,12 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(str(r.day), r.name): (r.inc, r.dec) for r in stream.read_days(spark, str(tmp_path / "out")).collect()}
     want = {(str(r.day), r.name): (r.inc, r.dec) for r in daily(volumes(rows), "name").collect()}
     assert got == want
+
+
+def test_repeated_reports_are_dropped(spark, tmp_path):
+    rows = calls(spark)
+    again = rows.filter("row_id = 1").withColumn("row_id", F.lit(99).cast("long"))
+    rows.unionByName(again).coalesce(1).write.parquet(str(tmp_path / "in"))
+    kept = stream.first_reports(stream.read_calls(spark, str(tmp_path / "in"), CALLS))
+    kept.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
