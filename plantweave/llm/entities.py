@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .mojibake import spoiled_values
 from .names import ENERGY, parse
 from .variants import link_spellings
@@ -34,7 +34,7 @@ def parse_names(names: DataFrame) -> DataFrame:
                 rows += [(name, len(parts), i, *_row(p)) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["name", "n_parts", "part", *_FIELDS])
 
-    return names.mapInPandas(run, f"name string, n_parts int, part int, {_PART}")
+    return spread(names).mapInPandas(run, f"name string, n_parts int, part int, {_PART}")
 
 
 def restored_names(rows: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def index_entities(index: DataFrame) -> tuple[DataFrame, DataFrame]:
             yield pd.DataFrame(rows, columns=["id", "alias", "place", "type", "block", "direction", "sections", "capacity"])
 
     columns = ["id", "entry_type", "name", "match_names", "aliases", "fueltype", "technology", "capacity"]
-    told = cut_lineage(index.select(*columns).mapInPandas(run, "id string, alias boolean, place string, type string, block string, direction string, sections string, capacity double"))
+    told = cut_lineage(spread(index.select(*columns)).mapInPandas(run, "id string, alias boolean, place string, type string, block string, direction string, sections string, capacity double"))
     plants = told.filter(~F.col("alias")).drop("alias")
     alias = told.filter("alias AND place <> ''").groupBy("place", "type", "block").agg(F.min("id").alias("id"), F.max("id").alias("_last")).filter("id = _last").drop("_last")
     return plants, alias

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .names import ENERGY, parse
 
 CHUNKS, WIDTH, RADIUS = 9, 28, 6
@@ -46,7 +46,7 @@ def _vectors(texts: DataFrame, name: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([(t, *bits(t)) for t in pdf[name]], columns=[name, *_CHUNK])
 
-    return texts.mapInPandas(run, f"{name} string, " + ", ".join(f"{c} int" for c in _CHUNK))
+    return spread(texts).mapInPandas(run, f"{name} string, " + ", ".join(f"{c} int" for c in _CHUNK))
 
 
 def close_texts(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -89,7 +89,7 @@ def registry_records(registry: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["mastr_id", "place", "town", "types", "block", "direction", "sections", "net", "generic"])
 
     columns = ["mastr_id", "anzeigename", "energietraeger", "nettonennleistung_mw", "ort"]
-    return registry.select(*columns).mapInPandas(run, "mastr_id string, place string, town string, types array<string>, block string, direction string, sections string, net double, generic boolean")
+    return spread(registry.select(*columns)).mapInPandas(run, "mastr_id string, place string, town string, types array<string>, block string, direction string, sections string, net double, generic boolean")
 
 
 def _class(c: Column) -> Column:

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, maybe_broadcast
+from ..session import cut_lineage, maybe_broadcast, spread
 
 #: Letters that every channel may have spoiled, and signs that only multi-byte channels show beyond doubt.
 GERMAN = "äöüÄÖÜß"
@@ -279,7 +279,7 @@ def spoiled_values(values: DataFrame) -> DataFrame:
     restored: the text with each spoiled word as it most likely was; a word that nothing explains stays as it is.
     Null and empty texts are never spoiled. Frequencies are those of all words of all values.
     """
-    parts = cut_lineage(values.filter(F.col("value").isNotNull()).mapInPandas(_cut, "value string, n long, words array<string>, odd array<string>"))
+    parts = cut_lineage(spread(values.filter(F.col("value").isNotNull())).mapInPandas(_cut, "value string, n long, words array<string>, odd array<string>"))
 
     def folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -294,7 +294,7 @@ def spoiled_values(values: DataFrame) -> DataFrame:
     grams = {r.gram: r.n for r in lexicon.filter("plain").select("folded", "n").mapInPandas(_trigrams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
     odd = parts.select(F.explode("odd").alias("word")).distinct()
-    readings = odd.mapInPandas(_candidates(grams), _CANDIDATE)
+    readings = spread(odd).mapInPandas(_candidates(grams), _CANDIDATE)
     own = lexicon.select(F.col("folded").alias("own"), F.col("n").alias("n_own"))
     scored = readings.join(lexicon, "folded", "left").join(own, "own", "left")
     # A reading with foreign letters counts only if it is far more frequent than the word as it stands.

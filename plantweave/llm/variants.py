@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 #: Texts from these lengths on may differ by 1, 2 and 3 edits; 3 only from a known text.
 ONE, TWO, THREE = 5, 8, 12
@@ -145,8 +145,8 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     # What lies within the bound of a stage is found in it for certain, and later stages look farther but for fewer texts.
     for stage, settled in ((1, 1.5), (2, 2.0), (3, 3.0)):
         references = whole.filter(fit) if stage == 3 else whole.filter(fit & F.col("known"))
-        looked = queries.mapInPandas(_emit_queries(stage), "text string, cut boolean, weight long, key string")
-        index = references.mapInPandas(_emit_references(stage), "reference string, known boolean, reference_weight long, key string")
+        looked = spread(queries).mapInPandas(_emit_queries(stage), "text string, cut boolean, weight long, key string")
+        index = spread(references).mapInPandas(_emit_references(stage), "reference string, known boolean, reference_weight long, key string")
         # The optimizer can't know how many keys a text has: neither side may be broadcast.
         met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
         # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.
