@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import figures, text
 from ..functions.days import clock_change, local_day, written_moment
-from ..operators import components, decisions, entries, lookup, registry, similarity, spatial, volumes
+from ..operators import components, decisions, entries, lookup, registry, shortlist, spatial, volumes
 from ..session import maybe_broadcast, shared_folder, table
 from ..sources import resolvers
 from ..streaming import daily as stream
@@ -297,11 +297,18 @@ def fuzzy_topk_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.top_k(pairs.select("norm", "id", score.alias("score")), "norm", "score", "id", 20)
 
 
+def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(norm, id, score, rank): the twenty plants most like each entry name, of all that fit in fuel and size."""
+    exact = table(spark, sf_dir, "matches_exact").filter("entry_type = 'individual' AND betroffene_anlage IS NOT NULL")
+    name = F.col("betroffene_anlage")
+    asked = shortlist.core_queries(exact, text.plain_name(name), name, F.col("primaerenergieart"), F.col("max_dispatched_mw"))
+    return shortlist.most_similar(asked, table(spark, sf_dir, "candidate_index").filter("entry_type = 'individual'"), 20).withColumnRenamed("entry", "norm")
+
+
 @query()
 def fuzzy_topk_wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty plants most like each name by the weighted similarity; SQL has no such function."""
-    pairs = _pairs(spark, sf_dir)
-    return lookup.top_k(pairs.select("norm", "id", F.round(similarity.similarity(F.col("norm"), F.col("cand")), 1).alias("score")), "norm", "score", "id", 20)
+    return _shortlist(spark, sf_dir).withColumn("score", F.round("score", 1))
 
 
 @query(f"""WITH {_BLOCK_SQL}, picks AS (SELECT norm, CASE WHEN hash_ = 0 THEN '999' ELSE id END AS id FROM (SELECT norm, min(id) AS id, length(norm) % 3 AS hash_ FROM pairs GROUP BY norm))
