@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import core_name, place_words, plain_name
-from ..operators import decisions, entries, lookup, similarity, spatial
+from ..functions.text import place_words, plain_name
+from ..operators import decisions, entries, lookup, spatial
+from ..operators.shortlist import core_queries, most_similar
 from ..session import cut_lineage
 from ..sources.resolvers import choose_best, chosen
 
@@ -28,18 +29,10 @@ class Resolved:
 
 
 def shortlist(open_entries: DataFrame, plants: DataFrame, k: int = 20, least: int = 4) -> DataFrame:
-    """The k most similar plants of each entry: (betroffene_anlage, cand_id, score, rank).
-
-    Names meet where they share a word of six letters or its first five; fuel and size filter before the score.
-    """
-    telling = lambda c: F.array_distinct(F.transform(F.filter(F.split(F.translate(c, "-", " "), " "), lambda w: F.length(w) >= 6), lambda w: F.substring(w, 1, 5)))
-    asked = open_entries.select("betroffene_anlage", core_name(F.col("betroffene_anlage")).alias("q"), "primaerenergieart", "max_dispatched_mw")
-    variants = plants.select("id", "fueltype", "capacity", F.explode(F.split("match_names", r" \| ")).alias("_v")).select("id", "fueltype", "capacity", core_name(F.col("_v")).alias("v")).filter(F.length("v") >= least)
-    met = asked.withColumn("w", F.explode(telling(F.col("q")))).join(variants.withColumn("w", F.explode(telling(F.col("v")))), "w")
-    fit = met.filter(lookup.fits_fuel(F.col("primaerenergieart"), F.col("fueltype")) & lookup.fits_power(F.col("max_dispatched_mw"), F.col("capacity")))
-    pairs = fit.select("betroffene_anlage", "q", "id", "v").distinct().withColumn("score", similarity.similarity(F.col("q"), F.col("v")))
-    best = pairs.groupBy("betroffene_anlage", F.col("id").alias("cand_id")).agg(F.max("score").alias("score"))
-    return lookup.top_k(best, "betroffene_anlage", "score", "cand_id", k)
+    """The k most similar plants of each entry, of all that fit in fuel and size: (betroffene_anlage, cand_id, score, rank)."""
+    name = F.col("betroffene_anlage")
+    asked = core_queries(open_entries, name, name, F.col("primaerenergieart"), F.col("max_dispatched_mw"))
+    return most_similar(asked, plants, k, least).select(F.col("entry").alias("betroffene_anlage"), F.col("id").alias("cand_id"), "score", "rank")
 
 
 def resolve(events: DataFrame, index: DataFrame, registry: DataFrame) -> Resolved:

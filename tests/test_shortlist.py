@@ -10,7 +10,7 @@ from conftest import SF
 from plantweave.functions.text import core_name, plain_name
 from plantweave.operators import lookup, shortlist
 from plantweave.operators.similarity import weighted
-from plantweave.plans import catalogue
+from plantweave.plans import catalogue, pipeline
 from plantweave.session import table
 
 
@@ -58,3 +58,10 @@ def test_fuzzy_topk_wratio_is_brute_force(spark):
     want = best.groupby("norm").head(20)[["norm", "id"]].reset_index(drop=True)
     got = catalogue.fuzzy_topk_wratio(spark, SF).toPandas().sort_values(["norm", "rank"])[["norm", "id"]].reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_pipeline_lists_plants_whose_first_letters_differ(spark):
+    plants = spark.createDataFrame([("1", "Drisvostethagen Pumpspeicherwerk", "Hydro", 90.0), ("2", "Altheim", "Wind", 0.0)], "id string, match_names string, fueltype string, capacity double")
+    entries = spark.createDataFrame([("psw drsvostethagen", "Erneuerbar", 100.0)], "betroffene_anlage string, primaerenergieart string, max_dispatched_mw double")
+    got = sorted((r["rank"], r.cand_id, r.betroffene_anlage) for r in pipeline.shortlist(entries, plants).collect())
+    assert got == [(1, "1", "psw drsvostethagen"), (2, "2", "psw drsvostethagen")]
