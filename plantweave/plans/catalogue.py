@@ -684,9 +684,9 @@ def streaming_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text that tells a chooser each name's candidates."""
+    """The text that tells a chooser each name's candidates, the whole shortlist of twenty."""
     index = table(spark, sf_dir, "candidate_index").select(F.col("id").alias("cand_id"), F.col("name").alias("cand_name"), F.col("fueltype").alias("cand_fueltype"), F.col("capacity").alias("cand_capacity"))
-    best = lookup.top_k(_pairs(spark, sf_dir).select("norm", F.col("id").alias("cand_id"), F.levenshtein("norm", "cand").alias("d")).withColumn("s", -F.col("d")), "norm", "s", "cand_id", 5)
+    best = _shortlist(spark, sf_dir).withColumnRenamed("id", "cand_id")
     return resolvers.prompt_lines(best.join(index, "cand_id"), "norm")
 
 

@@ -65,3 +65,10 @@ def test_pipeline_lists_plants_whose_first_letters_differ(spark):
     entries = spark.createDataFrame([("psw drsvostethagen", "Erneuerbar", 100.0)], "betroffene_anlage string, primaerenergieart string, max_dispatched_mw double")
     got = sorted((r["rank"], r.cand_id, r.betroffene_anlage) for r in pipeline.shortlist(entries, plants).collect())
     assert got == [(1, "1", "psw drsvostethagen"), (2, "2", "psw drsvostethagen")]
+
+
+def test_prompt_holds_the_whole_shortlist(spark):
+    listed = catalogue.fuzzy_topk_wratio(spark, SF).groupBy("norm").count().collect()
+    lines = {r.norm: r.prompt.count("\n") for r in catalogue.prompt_text(spark, SF).collect()}
+    assert lines == {r.norm: r["count"] for r in listed}
+    assert max(lines.values()) > 5
