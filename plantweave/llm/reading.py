@@ -32,7 +32,7 @@ _CLAUSE = regex.compile(r"[,;:–]")
 _FORMULA = regex.compile(r"[=≈≤≥∑∂→∞φκ√∫±·^_{}<>|§%]")
 _WORDLIKE = regex.compile(r"^[(\[„“”\"'‚‘«»*-]*\p{L}[\p{L}\p{M}'’/.-]*[.,:;!?)\]\"“”'’…*–-]*$")
 #: Fields that no space parts, keys with their value, braces, indexes and calls with quotes.
-_STRUCTURED = regex.compile(r"[;|]\S*[;|]|^[^;]*\d;\S|\p{L};\S|\"\s*:|^\"[^\"]*\",?\]?[,}]*$|\w\[\d|\w\([\"']|[\"']\)|^[{}\[\]]|\p{L}{2,}=\S|::|^#$|^(?:def|return|import|elif)$")
+_STRUCTURED = regex.compile(r"[;|]\S*[;|]|^[^;]*\d;\S|\p{L};\S|\"\s*:|^\"[^\"]*\",?\]?[,}]*$|\w\[\d|\w\([\"']|[\"']\)|^[{}\[\]]|\p{L}{2}=\S|::|^#$|^(?:def|return|import|elif)$")
 #: Signs and letters of other scripts; formulas hold Greek letters and mathematical signs, which are none.
 _STRANGE = regex.compile(r"(?![°©®])[\p{So}\p{Nl}\p{Sk}ﬀ-ﬆ]|(?![\p{Latin}\p{Greek}])\p{L}|(?![0-9])\p{Nd}|[²µΩœ](?=\p{L}{2})")
 _HEADER = regex.compile(r"^\s*\[\d+-\p{L}+\]\s*")
@@ -74,8 +74,8 @@ def is_prose(text: str | None) -> bool:
         return False
     pieces = _HEADER.sub("", text).split()
     n = max(len(pieces), 1)
-    # No word is longer than LONGEST; longer pieces are neutral, but for what their begin shows.
-    kinds = [_kind(p) if len(p) <= LONGEST else (False, bool(_STRUCTURED.search(p[:LONGEST])), bool(_STRANGE.search(p)), False) for p in pieces]
+    # No word is longer than LONGEST; longer pieces are searched whole, but aren't kept.
+    kinds = [_kind(p) if len(p) <= LONGEST else (False, bool(_STRUCTURED.search(p)), bool(_STRANGE.search(p)), False) for p in pieces]
     words, structure, strange, bars = map(sum, zip(*kinds, strict=True)) if kinds else (0, 0, 0, 0)
     return words >= 0.3 * n and structure <= 0.08 * n and strange <= 0.08 * n and bars <= 0.1 * n
 

@@ -19,6 +19,11 @@ def test_prose():
     assert is_prose("Für alle k mit x_k > 0 gilt ∑ a_k · x_k ≤ b, also d = 12. Bei U < 0,9 p. u. gibt der Regler ein Q nach der Kurve vor. " * 2)
 
 
+def test_long_pieces_are_searched_whole():
+    assert not is_prose(HARD + " ".join(["x" * 300 + ";a;b"] * 6))
+    assert is_prose(HARD + " ".join(["x" * 100_000] * 6))
+
+
 def test_isotonic():
     x, y = pool_adjacent(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1.0, 3.0, 2.0, 4.0]))
     assert list(y) == [1.0, 2.5, 4.0] and list(x) == [1.0, 2.5, 4.0]
