@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, table
 from .entities import linked_pairs, name_entities
 from .formatting import copies, records
-from .linkage import match_entities
+from .linkage import confidence, label_reliability, match_entities
 from .mixture import mix
 from .mojibake import spoiled_rows
 from .reading import fit_labels, reading_level
@@ -42,8 +42,8 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p4(spark, sf_dir)
 
 
-def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_kind, rec_id, mastr_id, score, probability, confidence)"""
+def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that name one plant (rec, entity), the plants of the index, and the pairs of entities and registry rows."""
     exact = table(spark, sf_dir, "matches_exact").select(F.struct(F.lit("exact").alias("rec_kind"), F.col("match_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), "matched_id")
     cluster = table(spark, sf_dir, "matches_cluster").select(F.struct(F.lit("cluster").alias("rec_kind"), F.col("cluster_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
     rows, plants = name_entities(exact.unionByName(cluster), table(spark, sf_dir, "candidate_index"))
@@ -52,18 +52,33 @@ def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["entity", "place", "type", "block", "direction", "sections"]
     known = plants.select(*fields, "capacity").unionByName(rows.select(*fields, F.lit(None).cast("double").alias("capacity")))
     entities = known.groupBy("entity").agg(*[F.first(c).alias(c) for c in fields[1:]], F.max("capacity").alias("capacity"))
-    pairs = match_entities(entities, table(spark, sf_dir, "bnetza_lookup"))
-    return rows.select("rec.rec_kind", "rec.rec_id", "entity").join(pairs, "entity").drop("entity")
+    return rows, plants, match_entities(entities, table(spark, sf_dir, "bnetza_lookup"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of matches_exact and matches_cluster with the registry rows that describe the same plant."""
-    return _p5(spark, sf_dir).filter("confidence <> 'none'").select("rec_kind", "rec_id", "mastr_id")
+    rows, _, pairs = _p5(spark, sf_dir)
+    kept = pairs.filter("confidence <> 'none'").select("entity", "mastr_id")
+    return rows.select("rec.rec_kind", "rec.rec_id", "entity").join(kept, "entity").drop("entity")
 
 
 def p5_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same pairs and less likely ones with their probability and confidence."""
-    return _p5(spark, sf_dir)
+    """The same pairs and less likely ones, with the probability that they are one plant and a confidence.
+
+    The confidence of a row that has one of its own (matches_cluster.confidence) also tells how often rows of that
+    confidence lie where the plant lies.
+    """
+    rows, plants, pairs = _p5(spark, sf_dir)
+    own = table(spark, sf_dir, "matches_cluster").select(F.struct(F.lit("cluster").alias("rec_kind"), F.col("cluster_id").alias("rec_id")).alias("rec"), F.col("confidence").alias("label"), "lat", "lon")
+    places = table(spark, sf_dir, "candidate_index").select("id", "lat", "lon")
+    labelled = cut_lineage(rows.select("rec", "entity").join(own.hint("merge"), "rec"))
+    trust = label_reliability(labelled, plants.select("id", "entity").join(places, "id"))
+    share = F.lit(1.0)
+    for label, r in trust.items():
+        share = F.when(F.col("_label") == label, r).otherwise(share)
+    told = rows.select("rec", "entity").join(labelled.select("rec", F.coalesce("label", F.lit("unknown")).alias("_label")).hint("merge"), "rec", "left")
+    joined = told.join(pairs, "entity").withColumn("sure", F.col("probability") * share)
+    return joined.select("rec.rec_kind", "rec.rec_id", "mastr_id", "score", "probability", confidence(F.col("sure")).alias("confidence"))
 
 
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
