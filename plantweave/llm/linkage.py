@@ -155,15 +155,15 @@ def _levels(options: DataFrame) -> DataFrame:
 FIELDS = ("c_name", "c_town", "c_capacity")
 
 
-def learned_ratios(patterns: np.ndarray, counts: np.ndarray, by_chance: np.ndarray, fixed: np.ndarray, pairs: float, rounds: int = 100) -> tuple[float, np.ndarray]:
+def learned_ratios(patterns: np.ndarray, counts: np.ndarray, by_chance: np.ndarray, fixed: np.ndarray, pairs: float, rounds: int = 500) -> tuple[float, np.ndarray]:
     """(share of matches among all pairs, log ratios by field and level) by expectation maximisation.
 
     patterns: rows of levels, 0 for what isn't known and tells nothing. by_chance: the probability of each field's
     levels in pairs that don't match; these stay, while those in matches are learned. fixed: log ratio of all that
     agrees in every pair of a pattern. pairs: number of all pairs; those in no pattern don't match.
     """
-    share, ratios = counts.sum() / 2 / pairs, np.zeros(by_chance.shape)
-    ratios[:, 1:] = np.arange(by_chance.shape[1] - 1) * 1.0  # at first, closer is likelier
+    share, ratios = min(0.05, counts.sum() / 2 / pairs), np.zeros(by_chance.shape)
+    ratios[:, 1:] = 2.0 * np.arange(by_chance.shape[1] - 1) - 2.0  # at first, closer is likelier
     for _ in range(rounds):
         logit = math.log(share / (1 - share)) + fixed + sum(ratios[f, patterns[:, f]] for f in range(patterns.shape[1]))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))

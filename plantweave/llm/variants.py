@@ -1,125 +1,127 @@
 """Variant spellings of names: pigeonhole segment join, verified by banded edit distance.
 
 If two texts differ by at most k edits and one is cut into k + 1 segments, at least one segment occurs in the other
-unchanged, at most k characters off its place. An inverted index holds the substrings of the reference texts that
-can meet a segment; texts look up their segments there by an equality join, and what they meet is verified by an
-edit distance in a band of width k. Shortened texts look up their segments among the beginnings of reference texts.
-The search goes in stages of growing k, as few long segments are far more selective than many short ones.
+unchanged. Only few places need to be looked at for it: with i segments before it and k - i after it, it is moved by
+at most i characters as seen from the begin and by at most k - i as seen from the end (Li, Deng, Wang and Feng,
+Pass-Join, 2011). One side's segments and the other side's substrings meet in an equality join; what meets is verified by an edit
+distance in a band of width k. Shortened texts meet the beginnings of others in the same way. First the texts look
+for known ones with at most one edit; only the rest looks farther, and then it is the few texts that look which have
+many keys, not the many that are looked up. All keys are built from columns, no text leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, spread
+from ..session import cut_lineage
 
-#: Texts from these lengths on may differ by 1, 2 and 3 edits; 3 only from a known text.
+#: Texts from these lengths on may differ by 1, 2 and 3 edits; 3 only from a known text. Shorter ones have no variants.
 ONE, TWO, THREE = 5, 8, 12
-#: Longer texts are no names; they stand for themselves.
-LONGEST = 64
+#: Shortened texts of that length on are met by their beginnings.
+LEAST_CUT = 4
+#: Lengths of the beginnings by which a text meets the longer ones that begin with it: the longest that it has.
+BEGINS = (8, 12, 16, 24, 32)
+#: Most rounds of following chains, each of which doubles the steps.
+ROUNDS = 40
 
 
 def edits(length: int) -> int:
     return (length >= ONE) + (length >= TWO) + (length >= THREE)
 
 
-def cut_edits(length: int) -> int:
-    """Edits within a shortened text."""
-    return int(length >= TWO)
+def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
+    """(begin, length) of segment i of the k + 1 segments of a text; the last ones are longer by one where it doesn't divide."""
+    base, longer = F.floor(length / (k + 1)), k + 1 - F.pmod(length, F.lit(k + 1))
+    return i * base + F.greatest(F.lit(0), i - longer), base + (F.lit(i) >= longer).cast("int")
 
 
-def segments(length: int, k: int) -> list[tuple[int, int]]:
-    """(begin, length) of the k + 1 segments of a text."""
-    base, more = divmod(length, k + 1)
-    out, at = [], 0
-    for i in range(k + 1):
-        size = base + (i >= k + 1 - more)
-        out.append((at, size))
-        at += size
-    return out
+def _key(kind: str, length: Column | int, i: int, part: Column) -> Column:
+    return F.xxhash64(F.lit(kind), F.lit(length).cast("int") if isinstance(length, int) else length.cast("int"), F.lit(i), part)
 
 
-def _cut_up(kind: str, text: str, k: int) -> list[str]:
-    return [f"{kind}{len(text)}.{i}.{text[a : a + n]}" for i, (a, n) in enumerate(segments(len(text), k))]
+def segment_keys(text: Column, k: int, kind: str, given: Column) -> list[Column]:
+    """The keys of a text's own segments, null unless given."""
+    n = F.length(text)
+    parts = [_segment(n, k, i) for i in range(k + 1)]
+    return [F.when(given & (n > k), _key(kind, n, i, F.substring(text, (a + 1).cast("int"), size.cast("int")))) for i, (a, size) in enumerate(parts)]
 
 
-def query_keys(text: str, cut: bool, stage: int) -> list[str]:
-    """The keys of a text in a stage of the search.
+def substring_keys(text: Column, k: int, kind: str, given: Column, least: int = 1, most: int | None = None) -> list[Column]:
+    """The keys of the substrings in which a segment of a text within k edits may be found.
 
-    1: the text as begin of a known one, and two segments. 2: three segments among known texts; the segments of a
-    shortened text. 3: four segments among known texts, three among others, and begins of others.
+    least, most: lengths of the texts that were cut up.
     """
-    n = len(text)
-    if stage == 1:
-        return [f"b{text}", *([] if cut else _cut_up("1.", text, min(1, edits(n))))]
-    if stage == 2:
-        return _cut_up("c.", text, cut_edits(n)) if cut else _cut_up("2.", text, min(2, edits(n)))
-    return [f"ob{text}", *_cut_up("oc.", text, cut_edits(n))] if cut else [f"ob{text}", *_cut_up("3.", text, edits(n)), *_cut_up("o.", text, min(2, edits(n)))]
-
-
-def _may_meet(kind: str, text: str, most: int) -> set[str]:
-    """Substrings where a segment of a text within most edits may lie."""
-    out = set()
-    for length in range(max(1, len(text) - most), len(text) + most + 1):
-        k = min(most, edits(length))
-        if abs(length - len(text)) <= k:
-            for i, (a, n) in enumerate(segments(length, k)):
-                out |= {f"{kind}{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
+    n, out = F.length(text), []
+    for more in range(-k, k + 1):  # how much longer this text is than the other
+        other = n - more
+        right = given & (other >= max(least, k + 1)) & (F.lit(True) if most is None else other <= most)
+        for i in range(k + 1):
+            a, size = _segment(other, k, i)
+            for moved in range(max(-i, more - (k - i)), min(i, more + (k - i)) + 1):
+                inside = right & (a + moved >= 0) & (a + moved + size <= n)
+                out.append(F.when(inside, _key(kind, other, i, F.substring(text, (a + moved + 1).cast("int"), size.cast("int")))))
     return out
 
 
-def _may_begin(kind: str, text: str) -> set[str]:
-    """Substrings where a segment of a shortened form may lie."""
-    out = set()
-    for length in range(4, len(text)):
-        k = cut_edits(length)
-        for i, (a, n) in enumerate(segments(length, k)):
-            out |= {f"{kind}{length}.{i}.{text[b : b + n]}" for b in range(max(0, a - k), min(len(text) - n, a + k) + 1)}
+def _cut_sizes() -> list[tuple[int, int, int | None]]:
+    """(size of the two segments, least and most length) of shortened texts that may hold one edit."""
+    return [(4, TWO, 11), (6, 12, 15), (8, 16, None)]
+
+
+def short_keys(text: Column, cut: Column, kind: str) -> list[Column]:
+    """The keys of a text by which it meets longer ones that begin like it; whole up to 7 letters, or by two segments at its begin."""
+    n = F.length(text)
+    out = [F.when(cut & (n >= LEAST_CUT) & (n < TWO), _key(f"{kind}c", n, 0, text))]
+    for size, least, most in _cut_sizes():
+        fits = cut & (n >= least) & (F.lit(True) if most is None else n <= most)
+        out += [F.when(fits, _key(f"{kind}c{size}", size, i, F.substring(text, 1 + i * size, size))) for i in range(2)]
+    for size, after in zip(BEGINS, [*BEGINS[1:], None], strict=True):
+        fits = ~cut & (n >= size) & (F.lit(True) if after is None else n < after)
+        out.append(F.when(fits, _key(f"{kind}b", size, 0, F.substring(text, 1, size))))
     return out
 
 
-def reference_keys(text: str, known: bool, stage: int) -> set[str]:
-    """All keys of a stage by which a text that lies near, or is a shortened form, may find this one."""
-    begins = {text[:n] for n in range(4, len(text))}
-    if stage == 1:
-        return {f"b{x}" for x in begins} | _may_meet("1.", text, 1) if known else set()
-    if stage == 2:
-        return _may_begin("c.", text) | _may_meet("2.", text, 2) if known else set()
-    return _may_meet("3.", text, 3) if known else {f"ob{x}" for x in begins} | _may_begin("oc.", text) | _may_meet("o.", text, 2)
+def beginning_keys(text: Column, kind: str, given: Column) -> list[Column]:
+    """The keys of a text by which shortened ones find it: its begins, and its second segments moved by one edit at most."""
+    n = F.length(text)
+    out = [F.when(given & (n > size), _key(f"{kind}c", size, 0, F.substring(text, 1, size))) for size in range(LEAST_CUT, TWO)]
+    for size, _, _ in _cut_sizes():
+        out.append(F.when(given & (n >= size), _key(f"{kind}c{size}", size, 0, F.substring(text, 1, size))))
+        out += [F.when(given & (n >= 2 * size + moved), _key(f"{kind}c{size}", size, 1, F.substring(text, 1 + size + moved, size))) for moved in (-1, 0, 1)]
+    return out + [F.when(given & (n >= size + 2), _key(f"{kind}b", size, 0, F.substring(text, 1, size))) for size in BEGINS]
 
 
-def _emit_queries(stage: int):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = zip(pdf.text, pdf.cut, pdf.weight, strict=True)
-            yield pd.DataFrame([(t, c, w, k) for t, c, w in rows for k in query_keys(t, c, stage)], columns=["text", "cut", "weight", "key"])
+def _query_keys(stage: int) -> list[Column]:
+    text, cut, n = F.col("text"), F.col("cut"), F.length("text")
+    if stage == 1:
+        return [*short_keys(text, cut, "k"), *segment_keys(text, 1, "k1", ~cut & (n >= ONE))]
+    two, three = ~cut & (n >= TWO) & (n < THREE), ~cut & (n >= THREE)
+    known = [*substring_keys(text, 2, "k2", two), *substring_keys(text, 3, "k3", three)]
+    others = [*substring_keys(text, 1, "o1", ~cut & (n >= ONE) & (n < TWO)), *substring_keys(text, 2, "o2", ~cut & (n >= TWO))]
+    return [*short_keys(text, cut, "o"), *known, *others]
 
-    return run
 
+def _reference_keys(stage: int) -> list[Column]:
+    text, known = F.col("reference"), F.col("known")
+    if stage == 1:
+        return [*beginning_keys(text, "k", known), *substring_keys(text, 1, "k1", known, least=ONE)]
+    own = [*segment_keys(text, 2, "k2", known), *segment_keys(text, 3, "k3", known)]
+    return [*own, *beginning_keys(text, "o", ~known), *segment_keys(text, 1, "o1", ~known), *segment_keys(text, 2, "o2", ~known)]
 
-def _emit_references(stage: int):  # noqa: ANN202
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                part = pdf.iloc[a : a + 500]
-                keys = [(t, f, w, k) for t, f, w in zip(part.text, part.known, part.weight, strict=True) for k in reference_keys(t, f, stage)]
-                yield pd.DataFrame(keys, columns=["reference", "known", "reference_weight", "key"])
 
-    return run
+def _keyed(df: DataFrame, keys: list[Column]) -> DataFrame:
+    return df.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
 
 
 def _distance() -> Column:
     """Edits between text and reference, of the shortened text to any beginning; null if beyond the bound."""
     length = F.length("text")
     bound = F.when(length >= THREE, 3).when(length >= TWO, 2).when(length >= ONE, 1).otherwise(0)
-    inside = F.when(length >= TWO, 1).otherwise(0)
+    inside = F.when(F.length("reference") <= length, -1).when(length >= TWO, 1).otherwise(0)
     begins = [F.levenshtein("text", F.substring(F.col("reference"), F.lit(1), length + d), 1) for d in (-1, 0, 1)]
     best = F.array_min(F.filter(F.array(*begins), lambda d: d >= 0))
-    whole = F.expr(f"levenshtein(text, reference, {THREE})")
+    whole = F.levenshtein("text", "reference", 3)
     # The sign that a text was shortened may be lost: an exact begin ranks between one edit and two.
     begin = F.when((length >= TWO) & (F.length("reference") >= length + 2) & F.startswith(F.col("reference"), F.col("text")), F.lit(1.5))
     near = F.when((whole >= 0) & (whole <= bound), whole.cast("double"))
@@ -132,21 +134,21 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     texts: text, cut (whether it was shortened), known (whether it is right for certain), weight (its number of
     rows); one row for each text and cut. A known text stands for itself. Another goes to the nearest text that is
     known, or else to a nearby one of greater weight (ties by text), or stays what it is. Chains are followed to
-    their end. Empty texts stand for themselves; null texts are left out.
+    their end. Texts of any length take part; those too short for an edit stand for themselves, empty ones too. Null
+    texts are left out.
     """
     texts = texts.filter(F.col("text").isNotNull()).groupBy("text", "cut").agg(F.max("known").alias("known"), F.sum("weight").alias("weight"))
     texts = cut_lineage(texts)
     whole = texts.filter(~F.col("cut")).withColumnRenamed("text", "_t").select(F.col("_t").alias("text"), "known", "weight")
-    fit = F.length("text").between(4, LONGEST)
-    queries = texts.filter(~(F.col("known") & ~F.col("cut")) & fit)
+    queries = texts.filter(~(F.col("known") & ~F.col("cut")))
     greater = F.struct("reference_weight", "reference") > F.struct(F.col("weight").alias("reference_weight"), F.col("text").alias("reference"))
     order = F.struct((~F.col("known")).alias("u"), "d", (-F.col("reference_weight")).alias("w"), "reference")
+    references = whole.select(F.col("text").alias("reference"), "known", F.col("weight").alias("reference_weight"))
     found = None
-    # What lies within the bound of a stage is found in it for certain, and later stages look farther but for fewer texts.
-    for stage, settled in ((1, 1.5), (2, 2.0), (3, 3.0)):
-        references = whole.filter(fit) if stage == 3 else whole.filter(fit & F.col("known"))
-        looked = spread(queries).mapInPandas(_emit_queries(stage), "text string, cut boolean, weight long, key string")
-        index = spread(references).mapInPandas(_emit_references(stage), "reference string, known boolean, reference_weight long, key string")
+    # What lies within the bound of the first stage is found there for certain; the second looks farther but for fewer texts.
+    for stage, settled in ((1, 1.5), (2, 3.0)):
+        looked = _keyed(queries.select("text", "cut", "weight"), _query_keys(stage))
+        index = _keyed(references if stage == 2 else references.filter("known"), _reference_keys(stage))
         # The optimizer can't know how many keys a text has: neither side may be broadcast.
         met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
         # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.
@@ -154,15 +156,16 @@ def link_spellings(texts: DataFrame) -> DataFrame:
         near = near.filter(F.col("known") | (F.col("d") <= 2) & (greater | F.col("cut")))
         best = cut_lineage(near.groupBy("text", "cut").agg(F.min_by(F.struct("reference", "known"), order).alias("b")))
         found = best if found is None else found.unionByName(best)
-        queries = cut_lineage(queries.join(best.select("text", "cut"), ["text", "cut"], "left_anti"))
+        if stage == 1:
+            queries = queries.join(best.select("text", "cut"), ["text", "cut"], "left_anti")
     linked = texts.join(found, ["text", "cut"], "left").select("text", "cut", F.coalesce("b.reference", "text").alias("canonical"), (F.coalesce(F.col("b.known"), F.lit(False)) | (F.col("known") & ~F.col("cut"))).alias("is_known"))
     linked = cut_lineage(linked)
-    for _ in range(40):  # ends when nothing changes; each round halves the chains
+    for _ in range(ROUNDS):  # ends when nothing changes; each round halves the chains
         to = linked.filter(~F.col("cut")).select(F.col("text").alias("canonical"), F.col("canonical").alias("_next"), F.col("is_known").alias("_known"))
         stepped = linked.join(to, "canonical", "left").select("text", "cut", F.coalesce("_next", "canonical").alias("canonical"), (F.col("is_known") | F.coalesce("_known", F.lit(False))).alias("is_known"), (F.col("_next").isNotNull() & (F.col("_next") != F.col("canonical"))).alias("_moved"))
         stepped = cut_lineage(stepped)
         moved = stepped.filter("_moved").limit(1).count()
         linked = stepped.drop("_moved")
         if not moved:
-            break
-    return linked
+            return linked
+    raise RuntimeError(f"chains of spellings did not end within {ROUNDS} rounds")

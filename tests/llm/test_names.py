@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plantweave.llm.entities import linked_pairs, name_entities
-from plantweave.llm.linkage import bits, close_texts, match_entities
+from plantweave.llm import variants
+from plantweave.llm.linkage import bits, calibrated, close_texts, label_reliability, learned_ratios, match_entities, pooled
 from plantweave.llm.names import fold, parse, within
-from plantweave.llm.variants import link_spellings, reference_keys, query_keys
+from plantweave.llm.variants import link_spellings
 
 
 def sig(name):
@@ -41,19 +45,50 @@ def test_within():
     assert within("abcx", "abcdefgh", 1, prefix=True) == 1
 
 
-def test_pigeonhole_loses_nothing():
+def test_pigeonhole_loses_nothing(spark):
     rng = random.Random(1)
-    for _ in range(400):
-        a = "".join(rng.choice("abcde") for _ in range(rng.randrange(5, 20)))
+    rows = []
+    for n in range(900):
+        a = "".join(rng.choice("abcde") for _ in range(rng.randrange(4, 90) if n % 10 == 0 else rng.randrange(4, 20)))
         b = list(a)
         for _ in range(rng.randrange(0, 4)):
             at = rng.randrange(len(b))
             rng.choice([lambda: b.insert(at, "x"), lambda: b.__setitem__(at, "y"), lambda: b.pop(at)])()
-        b = "".join(b)
-        k = (len(a) >= 5) + (len(a) >= 8) + (len(a) >= 12)
-        for stage, known, most in ((1, True, 1), (2, True, 2), (3, True, 3), (3, False, 2)):
-            if distance(a, b) <= min(k, most):
-                assert set(query_keys(a, False, stage)) & reference_keys(b, known, stage), (a, b)
+        if n % 3 == 0:
+            b += rng.choices("abcde", k=rng.randrange(1, 9))
+        rows.append((n, a, n % 3 == 0, "".join(b), n % 2 == 0))
+    df = spark.createDataFrame(rows, "n int, text string, cut boolean, reference string, known boolean")
+    keys = lambda stage: F.arrays_overlap(F.array_compact(F.array(*variants._query_keys(stage))), F.array_compact(F.array(*variants._reference_keys(stage))))
+    for r in df.select("text", "cut", "reference", "known", keys(1).alias("one"), keys(2).alias("two")).collect():
+        a, b = r.text, r.reference
+        k, d = variants.edits(len(a)), distance(a, b)
+        if r.cut:
+            near = len(b) > len(a) >= 4 and min(distance(a, b[: len(a) + i]) for i in (-1, 0, 1)) <= int(len(a) >= 8)
+            assert not near or (r.one if r.known else r.two), r
+        elif len(a) >= 8 and len(b) >= len(a) + 2 and b.startswith(a):
+            assert r.one if r.known else r.two, r
+        elif d <= min(k, 3 if r.known else 2) and a != b:
+            assert r.two or r.known and r.one, r
+            assert not (r.known and d == 1) or r.one, r
+
+
+def test_link_spellings_as_brute_force(spark):
+    rng = random.Random(5)
+    known = ["".join(rng.choice("abcdefg") for _ in range(rng.choice([6, 9, 13, 20, 80]))) for _ in range(40)]
+    typed = set()
+    for n in range(300):
+        b = list(rng.choice(known))
+        for _ in range(n % 4):
+            at = rng.randrange(len(b))
+            rng.choice([lambda: b.insert(at, "x"), lambda: b.__setitem__(at, "y"), lambda: b.pop(at)])()
+        typed.add("".join(b))
+    typed -= {*known}
+    rows = [(t, False, True, 1) for t in known] + [(t, False, False, 1) for t in typed]
+    got = {r.text: r.canonical for r in link_spellings(spark.createDataFrame(rows, "text string, cut boolean, known boolean, weight long")).collect()}
+    for t in typed:
+        d = min(distance(t, k) for k in known)
+        if d <= variants.edits(len(t)):
+            assert got[t] in known and distance(t, got[t]) == d, t
 
 
 def test_link_spellings(spark):
@@ -119,6 +154,35 @@ def test_match_entities(spark):
     assert match_entities(entities.limit(0), registry).count() == 0 and match_entities(entities, registry.limit(0)).count() == 0
 
 
+def test_weights_are_learned():
+    rng = np.random.default_rng(3)
+    n, share = 200_000, 0.02
+    match = rng.random(n) < share
+    field = lambda m, u: np.where(match, rng.choice(3, n, p=m), rng.choice(3, n, p=u))  # noqa: E731 - 0 not known, 1 differs, 2 equal
+    seen = np.column_stack([field([0.1, 0.1, 0.8], [0.1, 0.85, 0.05]), field([0.3, 0.07, 0.63], [0.3, 0.6, 0.1]), field([0.5, 0.05, 0.45], [0.5, 0.4, 0.1])])
+    patterns, counts = np.unique(seen, axis=0, return_counts=True)
+    by_chance = np.array([[0, 0.85 / 0.9, 0.05 / 0.9], [0, 0.6 / 0.7, 0.1 / 0.7], [0, 0.8, 0.2]])
+    got, ratios = learned_ratios(patterns, counts.astype(float), by_chance, np.zeros(len(patterns)), float(n))
+    assert abs(got - share) < 0.004
+    assert abs(ratios[0, 2] - math.log((0.8 / 0.9) / (0.05 / 0.9))) < 0.25 and ratios[0, 1] < 0
+
+
+def test_calibration():
+    assert pooled(np.array([1.0, 3.0, 2.0]), np.array([1.0, 1.0, 3.0])).tolist() == [1.0, 2.25, 2.25]
+    # Half of the pairs with the lower logit agree less often than chance would let matches: they are told down.
+    out = calibrated(np.array([5.0, 6.0, 7.0]), np.array([1000.0, 0.0, 1000.0]), np.array([200.0, 0.0, 980.0]), 0.1)
+    assert out[1] == 6.0 and out[2] > 4 and abs(1 / (1 + math.exp(-out[0])) - (0.2 - 0.1) / (0.98 - 0.1)) < 0.02
+    assert calibrated(np.array([1.0]), np.array([0.0]), np.array([0.0]), 0.1).tolist() == [1.0]
+
+
+def test_label_reliability(spark):
+    rows = [("a", "high", 50.0, 8.0)] * 20 + [("a", "low", 50.0, 8.0)] * 3 + [("a", "low", 54.0, 8.0)] * 9 + [("a", "none", 8.0, 50.0), ("a", None, None, 8.0), ("b", "odd", 50.0, 8.0)]
+    got = label_reliability(spark.createDataFrame(rows, "entity string, label string, lat double, lon double"), spark.createDataFrame([("a", 50.1, 8.1), ("a", 50.1, 8.1), ("b", None, None)], "entity string, lat double, lon double"))
+    assert got["high"] > 0.9 and 0.2 < got["low"] < 0.5 and got["none"] <= got["low"] <= got["medium"] and set(got) == {"high", "medium", "low", "none", "unknown"}
+    nothing = spark.createDataFrame([], "entity string, label string, lat double, lon double")
+    assert set(label_reliability(nothing, nothing).values()) == {1.0}
+
+
 @pytest.mark.parametrize("text", ["Straße", "STRASSE"])
 def test_fold(text):
     assert fold(text) == "strasse" and fold("Jänsch") == fold("Jaensch") == fold("Jansch")
