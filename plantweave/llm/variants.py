@@ -30,88 +30,85 @@ def edits(length: int) -> int:
     return (length >= ONE) + (length >= TWO) + (length >= THREE)
 
 
-def _segment(length: Column, k: int, i: int) -> tuple[Column, Column]:
-    """(begin, length) of segment i of the k + 1 segments of a text; the last ones are longer by one where it doesn't divide."""
-    base, longer = F.floor(length / (k + 1)), k + 1 - F.pmod(length, F.lit(k + 1))
-    return i * base + F.greatest(F.lit(0), i - longer), base + (F.lit(i) >= longer).cast("int")
+# Keys are written as SQL: hundreds of small columns would each be built by a call into the JVM. n is the text's length.
 
+def _segment(length: str, k: int, i: int) -> tuple[str, str]:
+    """(begin, length) of segment i of the k + 1 segments of a text; the last ones are longer by one where it doesn't divide."""
+    base, longer = f"(({length}) div {k + 1})", f"({k + 1} - ({length}) % {k + 1})"
+    return f"({i} * {base} + greatest(0, {i} - {longer}))", f"({base} + if({i} >= {longer}, 1, 0))"
 
-def _key(kind: str, length: Column | int, i: int, part: Column) -> Column:
-    return F.xxhash64(F.lit(kind), F.lit(length).cast("int") if isinstance(length, int) else length.cast("int"), F.lit(i), part)
 
+def _key(given: str, kind: str, length: str | int, i: int, text: str, begin: str | int, size: str | int) -> str:
+    """The hash of a part of a text, null unless given."""
+    return f"if({given}, xxhash64('{kind}', int({length}), {i}, substring({text}, int({begin}) + 1, int({size}))), NULL)"
 
-def segment_keys(text: Column, k: int, kind: str, given: Column) -> list[Column]:
-    """The keys of a text's own segments, null unless given."""
-    n = F.length(text)
-    parts = [_segment(n, k, i) for i in range(k + 1)]
-    return [F.when(given & (n > k), _key(kind, n, i, F.substring(text, (a + 1).cast("int"), size.cast("int")))) for i, (a, size) in enumerate(parts)]
 
+def segment_keys(text: str, k: int, kind: str, given: str) -> list[str]:
+    """The keys of a text's own segments."""
+    return [_key(f"{given} AND n > {k}", kind, "n", i, text, *_segment("n", k, i)) for i in range(k + 1)]
 
-def substring_keys(text: Column, k: int, kind: str, given: Column, least: int = 1, most: int | None = None) -> list[Column]:
-    """The keys of the substrings in which a segment of a text within k edits may be found.
 
-    least, most: lengths of the texts that were cut up.
-    """
-    n, out = F.length(text), []
+def substring_keys(text: str, k: int, kind: str, given: str, least: int = 1) -> list[str]:
+    """The keys of the substrings in which a segment of a text within k edits, of at least that length, may be found."""
+    out = []
     for more in range(-k, k + 1):  # how much longer this text is than the other
-        other = n - more
-        right = given & (other >= max(least, k + 1)) & (F.lit(True) if most is None else other <= most)
+        other = f"n - {more}" if more >= 0 else f"n + {-more}"
         for i in range(k + 1):
             a, size = _segment(other, k, i)
             for moved in range(max(-i, more - (k - i)), min(i, more + (k - i)) + 1):
-                inside = right & (a + moved >= 0) & (a + moved + size <= n)
-                out.append(F.when(inside, _key(kind, other, i, F.substring(text, (a + moved + 1).cast("int"), size.cast("int")))))
+                inside = f"{given} AND {other} >= {max(least, k + 1)} AND {a} + {moved} >= 0 AND {a} + {moved} + {size} <= n"
+                out.append(_key(inside, kind, other, i, text, f"({a} + {moved})", size))
     return out
 
 
-def _cut_sizes() -> list[tuple[int, int, int | None]]:
-    """(size of the two segments, least and most length) of shortened texts that may hold one edit."""
-    return [(4, TWO, 11), (6, 12, 15), (8, 16, None)]
+#: Size of the two segments, least and most length of shortened texts that may hold one edit.
+CUTS = ((4, TWO, 11), (6, 12, 15), (8, 16, None))
 
 
-def short_keys(text: Column, cut: Column, kind: str) -> list[Column]:
+def short_keys(text: str, cut: str, kind: str) -> list[str]:
     """The keys of a text by which it meets longer ones that begin like it; whole up to 7 letters, or by two segments at its begin."""
-    n = F.length(text)
-    out = [F.when(cut & (n >= LEAST_CUT) & (n < TWO), _key(f"{kind}c", n, 0, text))]
-    for size, least, most in _cut_sizes():
-        fits = cut & (n >= least) & (F.lit(True) if most is None else n <= most)
-        out += [F.when(fits, _key(f"{kind}c{size}", size, i, F.substring(text, 1 + i * size, size))) for i in range(2)]
+    out = [_key(f"{cut} AND n BETWEEN {LEAST_CUT} AND {TWO - 1}", f"{kind}c", "n", 0, text, 0, "n")]
+    for size, least, most in CUTS:
+        fits = f"{cut} AND n >= {least}" + (f" AND n <= {most}" if most else "")
+        out += [_key(fits, f"{kind}c{size}", size, i, text, i * size, size) for i in range(2)]
     for size, after in zip(BEGINS, [*BEGINS[1:], None], strict=True):
-        fits = ~cut & (n >= size) & (F.lit(True) if after is None else n < after)
-        out.append(F.when(fits, _key(f"{kind}b", size, 0, F.substring(text, 1, size))))
+        out.append(_key(f"NOT {cut} AND n >= {size}" + (f" AND n < {after}" if after else ""), f"{kind}b", size, 0, text, 0, size))
     return out
 
 
-def beginning_keys(text: Column, kind: str, given: Column) -> list[Column]:
+def beginning_keys(text: str, kind: str, given: str) -> list[str]:
     """The keys of a text by which shortened ones find it: its begins, and its second segments moved by one edit at most."""
-    n = F.length(text)
-    out = [F.when(given & (n > size), _key(f"{kind}c", size, 0, F.substring(text, 1, size))) for size in range(LEAST_CUT, TWO)]
-    for size, _, _ in _cut_sizes():
-        out.append(F.when(given & (n >= size), _key(f"{kind}c{size}", size, 0, F.substring(text, 1, size))))
-        out += [F.when(given & (n >= 2 * size + moved), _key(f"{kind}c{size}", size, 1, F.substring(text, 1 + size + moved, size))) for moved in (-1, 0, 1)]
-    return out + [F.when(given & (n >= size + 2), _key(f"{kind}b", size, 0, F.substring(text, 1, size))) for size in BEGINS]
+    out = [_key(f"{given} AND n > {size}", f"{kind}c", size, 0, text, 0, size) for size in range(LEAST_CUT, TWO)]
+    for size, _, _ in CUTS:
+        out.append(_key(f"{given} AND n >= {size}", f"{kind}c{size}", size, 0, text, 0, size))
+        out += [_key(f"{given} AND n >= {2 * size + moved}", f"{kind}c{size}", size, 1, text, size + moved, size) for moved in (-1, 0, 1)]
+    return out + [_key(f"{given} AND n >= {size + 2}", f"{kind}b", size, 0, text, 0, size) for size in BEGINS]
 
 
-def _query_keys(stage: int) -> list[Column]:
-    text, cut, n = F.col("text"), F.col("cut"), F.length("text")
+def query_keys(stage: int) -> list[str]:
+    """The keys of the columns text and cut."""
     if stage == 1:
-        return [*short_keys(text, cut, "k"), *segment_keys(text, 1, "k1", ~cut & (n >= ONE))]
-    two, three = ~cut & (n >= TWO) & (n < THREE), ~cut & (n >= THREE)
-    known = [*substring_keys(text, 2, "k2", two), *substring_keys(text, 3, "k3", three)]
-    others = [*substring_keys(text, 1, "o1", ~cut & (n >= ONE) & (n < TWO)), *substring_keys(text, 2, "o2", ~cut & (n >= TWO))]
-    return [*short_keys(text, cut, "o"), *known, *others]
+        return [*short_keys("text", "cut", "k"), *segment_keys("text", 1, "k1", f"NOT cut AND n >= {ONE}")]
+    two, three = f"NOT cut AND n >= {TWO} AND n < {THREE}", f"NOT cut AND n >= {THREE}"
+    known = [*substring_keys("text", 2, "k2", two), *substring_keys("text", 3, "k3", three)]
+    others = [*substring_keys("text", 1, "o1", f"NOT cut AND n >= {ONE} AND n < {TWO}"), *substring_keys("text", 2, "o2", f"NOT cut AND n >= {TWO}")]
+    return [*short_keys("text", "cut", "o"), *known, *others]
 
 
-def _reference_keys(stage: int) -> list[Column]:
-    text, known = F.col("reference"), F.col("known")
+def reference_keys(stage: int) -> list[str]:
+    """The keys of the columns reference and known."""
     if stage == 1:
-        return [*beginning_keys(text, "k", known), *substring_keys(text, 1, "k1", known, least=ONE)]
-    own = [*segment_keys(text, 2, "k2", known), *segment_keys(text, 3, "k3", known)]
-    return [*own, *beginning_keys(text, "o", ~known), *segment_keys(text, 1, "o1", ~known), *segment_keys(text, 2, "o2", ~known)]
+        return [*beginning_keys("reference", "k", "known"), *substring_keys("reference", 1, "k1", "known", least=ONE)]
+    own = [*segment_keys("reference", 2, "k2", "known"), *segment_keys("reference", 3, "k3", "known")]
+    return [*own, *beginning_keys("reference", "o", "NOT known"), *segment_keys("reference", 1, "o1", "NOT known"), *segment_keys("reference", 2, "o2", "NOT known")]
+
+
+def all_keys(keys: list[str]) -> str:
+    return f"array_distinct(array_compact(array({', '.join(keys)})))"
 
 
-def _keyed(df: DataFrame, keys: list[Column]) -> DataFrame:
-    return df.withColumn("key", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))))
+def _keyed(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    return df.withColumn("n", F.length(text)).withColumn("key", F.explode(F.expr(all_keys(keys)))).drop("n")
 
 
 def _distance() -> Column:
@@ -147,8 +144,8 @@ def link_spellings(texts: DataFrame) -> DataFrame:
     found = None
     # What lies within the bound of the first stage is found there for certain; the second looks farther but for fewer texts.
     for stage, settled in ((1, 1.5), (2, 3.0)):
-        looked = _keyed(queries.select("text", "cut", "weight"), _query_keys(stage))
-        index = _keyed(references if stage == 2 else references.filter("known"), _reference_keys(stage))
+        looked = _keyed(queries.select("text", "cut", "weight"), "text", query_keys(stage))
+        index = _keyed(references if stage == 2 else references.filter("known"), "reference", reference_keys(stage))
         # The optimizer can't know how many keys a text has: neither side may be broadcast.
         met = looked.join(index.hint("merge"), "key").filter((F.col("text") != F.col("reference")) | F.col("cut"))
         # Verified where they meet: only near texts are shuffled on. The minimum below takes repeated meetings for one.

@@ -58,8 +58,10 @@ def test_pigeonhole_loses_nothing(spark):
             b += rng.choices("abcde", k=rng.randrange(1, 9))
         rows.append((n, a, n % 3 == 0, "".join(b), n % 2 == 0))
     df = spark.createDataFrame(rows, "n int, text string, cut boolean, reference string, known boolean")
-    keys = lambda stage: F.arrays_overlap(F.array_compact(F.array(*variants._query_keys(stage))), F.array_compact(F.array(*variants._reference_keys(stage))))
-    for r in df.select("text", "cut", "reference", "known", keys(1).alias("one"), keys(2).alias("two")).collect():
+    for stage in (1, 2):
+        df = df.withColumn("n", F.length("text")).withColumn(f"q{stage}", F.expr(variants.all_keys(variants.query_keys(stage))))
+        df = df.withColumn("n", F.length("reference")).withColumn(f"r{stage}", F.expr(variants.all_keys(variants.reference_keys(stage))))
+    for r in df.select("text", "cut", "reference", "known", F.arrays_overlap("q1", "r1").alias("one"), F.arrays_overlap("q2", "r2").alias("two")).collect():
         a, b = r.text, r.reference
         k, d = variants.edits(len(a)), distance(a, b)
         if r.cut:
