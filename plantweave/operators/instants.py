@@ -312,7 +312,8 @@ def instant_ms(date: Column, time: Column, zone: Column, local: str = "Europe/Be
             yield _instants(date, time, zone, date_mask, time_mask, local, version)
 
     d, t = _clean(date), _clean(time)
-    return convert(d, t, _clean(zone), _mask(d), _mask(t))
+    # Else a filter on the result would be pushed below the projection and convert everything twice.
+    return convert.asNondeterministic()(d, t, _clean(zone), _mask(d), _mask(t))
 
 
 def is_plain(date: Column, time: Column, zone: Column) -> Column:
