@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from ..session import cut_lineage, maybe_broadcast
+from ..session import BROADCAST_BYTES, cut_lineage
 
 #: A key with more rows is hot. There are fewer hot keys than rows / HOT_ROWS.
 HOT_ROWS, SALTS = 50_000, 64
+#: What a hot key is taken to need in memory.
+HOT_BYTES = 100
 
 _WORD = regex.compile(r"(?:\p{L}\p{M}*)+|\p{N}+")
 _UNSEEN = regex.compile(r"(?:(?![\s\x1c-\x1f])[\p{Cf}\p{Cc}])+")
@@ -58,7 +60,7 @@ def canonical_key(*texts: Column) -> Column:
 def keyed(df: DataFrame, row_id: str, same: list[str], texts: list[str]) -> DataFrame:
     """(row_id, key): the digest of the texts and of the fields that must be equal (null equals null)."""
     exact = F.concat_ws("\x02", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in same]) if same else F.lit("")
-    return df.select(F.col(row_id), canonical_key(*[F.col(c) for c in texts]).alias("_texts"), exact.alias("_same")).select(row_id, F.sha2(F.concat("_texts", F.encode("_same", "UTF-8")), 256).alias("_key"))
+    return df.select(F.col(row_id), canonical_key(*[F.col(c) for c in texts]).alias("_texts"), exact.alias("_same")).select(row_id, F.unhex(F.md5(F.concat("_texts", F.encode("_same", "UTF-8")))).alias("_key"))
 
 
 def representatives(keys: DataFrame, row_id: str, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
@@ -67,15 +69,22 @@ def representatives(keys: DataFrame, row_id: str, hot_rows: int = HOT_ROWS, salt
     Ties can't occur, as identifiers are unique; if one is repeated, each of its rows counts. Null identifiers
     never represent. No rows give no rows.
     """
-    keys = cut_lineage(keys)
-    hot = keys.groupBy("_key").count().filter(F.col("count") > hot_rows).select("_key")
-    hot_keys = maybe_broadcast(cut_lineage(hot), row_bytes=100)
+    keys = cut_lineage(keys.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")))
+    hot = cut_lineage(keys.groupBy("_key").count().filter(F.col("count") > hot_rows).select("_key"))
     part = Window.partitionBy("_key")
-    rest = keys.join(hot_keys, "_key", "left_anti").select(row_id, F.min(row_id).over(part).alias("keep_id"), F.count(F.lit(1)).over(part).alias("n_copies"))
-    hot_part = keys.join(hot_keys, "_key")
-    levels = hot_part.groupBy("_key", F.pmod(F.xxhash64(row_id), F.lit(salts)).alias("_salt")).agg(F.min(row_id).alias("_min"), F.count(F.lit(1)).alias("_n"))
-    kept = levels.groupBy("_key").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("n_copies"))
-    return rest.unionByName(hot_part.join(maybe_broadcast(cut_lineage(kept), row_bytes=120), "_key").select(row_id, "keep_id", "n_copies"))
+    rest = _with_hot(keys, hot, salts, "left_anti").select(row_id, F.min(row_id).over(part).alias("keep_id"), F.count(F.lit(1)).over(part).alias("n_copies"))
+    hot_part = _with_hot(keys, hot, salts, "left_semi")
+    levels = hot_part.groupBy("_key", "_salt").agg(F.min(row_id).alias("_min"), F.count(F.lit(1)).alias("_n"))
+    kept = cut_lineage(levels.groupBy("_key").agg(F.min("_min").alias("keep_id"), F.sum("_n").alias("n_copies")))
+    return rest.unionByName(_with_hot(hot_part, kept, salts, "inner").select(row_id, "keep_id", "n_copies"))
+
+
+def _with_hot(rows: DataFrame, hot: DataFrame, salts: int, how: str) -> DataFrame:
+    """rows (_key, _salt) joined with hot (_key, written): broadcast where it is small, else on key and salt with a copy of hot for each salt."""
+    if hot.count() * HOT_BYTES <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(hot), "_key", how)
+    copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(copies, ["_key", "_salt"], how)
 
 
 def copies(df: DataFrame, row_id: str, same: list[str], texts: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .tokens import token_count
 
-#: Hash buckets a source; only the bucket that holds the border is sorted.
+#: Hash buckets a source, and of the bucket that holds the border; only the last one is sorted.
 BUCKETS = 4096
 
 
@@ -48,7 +48,17 @@ def _draw(seed: int, key: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("long"), F.col(key)), 2)
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def _border(buckets: dict[int, int], rest: float) -> tuple[int, float]:
+    """(the bucket in which rest tokens are reached, what is left of them there); BUCKETS if they never are."""
+    before = 0
+    for k in sorted(buckets):
+        if before + buckets[k] > rest:
+            return k, float(rest - before)
+        before += buckets[k]
+    return BUCKETS, float(rest - before)
+
+
+def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 42, path: str | None = None, stretch: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(documents used, shares).
 
     documents: doc_id, text, source. targets: source, target_share, max_repeats; one row a source.
@@ -56,8 +66,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     target_share, max_repeats, available_tokens, tokens, actual_share, epochs), a row for each target, with the
     tokens really taken; actual_share is 0 if nothing is taken at all. Documents of null, unknown or untargeted
     sources and those without a token are never used. Copies are documents like others. A null target_share
-    counts as 0, a null max_repeats as 1. Whole tables go in; the driver holds one row a target and one
-    a bucket of the targets' sources.
+    counts as 0, a null max_repeats as 1. total: tokens wanted; None: stretch times the most that can be had without
+    clamping any source that has text, so that a stretch above 1 clamps scarce sources and shares their rest out. Whole
+    tables go in; the driver holds one row a target and two lots of buckets a source.
     """
     goals = {r.source: (float(r.target_share or 0.0), int(1 if r.max_repeats is None else r.max_repeats)) for r in targets.select("source", "target_share", "max_repeats").collect() if r.source is not None}
     wanted = documents.filter(F.col("source").isin([*goals]))
@@ -68,31 +79,39 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     for r in sized.groupBy("source", "_bucket").agg(F.sum("n_tokens").alias("n")).collect():
         buckets[r.source][r["_bucket"]] = r.n
     sizes = {s: sum(b.values()) for s, b in buckets.items()}
+    if total is None:
+        total = stretch * sum(water_fill(goals, sizes).values())
     given = water_fill(goals, sizes, total)
 
-    plan = []
-    for s, (share, most) in goals.items():
+    plan = {}
+    for s, (_, most) in goals.items():
         whole, rest = divmod(given[s], sizes[s]) if sizes[s] else (0.0, 0.0)
-        before, border = 0, BUCKETS
         if whole >= most:
             whole, rest = float(most), 0.0
-        for k in sorted(buckets[s]):
-            if before + buckets[s][k] > rest:
-                border = k
-                break
-            before += buckets[s][k]
-        plan.append((s, share, most, sizes[s], int(whole), border, float(rest - before)))
+        plan[s] = (int(whole), *_border(buckets[s], rest))
+    # The border bucket is parted again, so that what has to be sorted is a 16 millionth of a source.
     spark = documents.sparkSession
+    bucket = F.col("_bucket")
+    edges = {s: k for s, (_, k, _) in plan.items() if k < BUCKETS}
+    on_edge = F.lit(False)
+    for s, k in edges.items():
+        on_edge = on_edge | ((F.col("source") == s) & (bucket == k))
+    sized = sized.withColumn("_fine", F.shiftright("_draw", 38).cast("int") % BUCKETS)
+    fine: dict[str, dict[int, int]] = {s: {} for s in goals}
+    for r in sized.filter(on_edge).groupBy("source", "_fine").agg(F.sum("n_tokens").alias("n")).collect() if edges else []:
+        fine[r.source][r["_fine"]] = r.n
+    rows = [(s, *goals[s], sizes[s], whole, k, *_border(fine[s], rest)) for s, (whole, k, rest) in plan.items()]
     # One row a target.
-    plans = F.broadcast(spark.createDataFrame(plan, "source string, target_share double, max_repeats int, available_tokens long, _whole int, _border int, _rest double"))
+    plans = F.broadcast(spark.createDataFrame(rows, "source string, target_share double, max_repeats int, available_tokens long, _whole int, _border int, _fine_border int, _rest double"))
 
-    rows = sized.join(plans, "source")
-    inside = rows.filter(F.col("_bucket") < F.col("_border")).withColumn("_more", F.lit(1))
-    outside = rows.filter(F.col("_bucket") > F.col("_border")).withColumn("_more", F.lit(0))
-    # In the border bucket documents are taken in the order of their draws while half of the next one still fits.
+    joined = sized.join(plans, "source")
+    before = (bucket < F.col("_border")) | (bucket == F.col("_border")) & (F.col("_fine") < F.col("_fine_border"))
+    last = (bucket == F.col("_border")) & (F.col("_fine") == F.col("_fine_border"))
+    sure = joined.filter(~last).withColumn("_more", before.cast("int"))
+    # In the last bucket documents are taken in the order of their draws while half of the next one still fits.
     order = Window.partitionBy("source").orderBy("_draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = rows.filter(F.col("_bucket") == F.col("_border")).withColumn("_more", (F.sum("n_tokens").over(order) - F.col("n_tokens") / 2 <= F.col("_rest")).cast("int"))
-    chosen = inside.unionByName(edge).unionByName(outside).select("doc_id", "source", "n_tokens", (F.col("_whole") + F.col("_more")).alias("uses")).filter(F.col("uses") > 0)
+    edge = joined.filter(last).withColumn("_more", (F.sum("n_tokens").over(order) - F.col("n_tokens") / 2 <= F.col("_rest")).cast("int"))
+    chosen = sure.unionByName(edge).select("doc_id", "source", "n_tokens", (F.col("_whole") + F.col("_more")).alias("uses")).filter(F.col("uses") > 0)
 
     taken = chosen.groupBy("source").agg(F.sum(F.col("n_tokens").cast("long") * F.col("uses")).alias("tokens"))
     shares = plans.select("source", "target_share", "max_repeats", "available_tokens").join(taken, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0).cast("long")))

@@ -102,6 +102,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_chunked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids with chunks so small that most documents are cut and stitched."""
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", chunk=600, overlap=120)
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the mixture and how often each is used."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -112,6 +117,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_clamped_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture 1.6 times as large, for which scarce sources are clamped at max_repeats and their rest shared out."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), stretch=1.6)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that need specialist, academic or legal training: level 4 or 5."""
     return p9_levels(spark, sf_dir).filter("reading_level >= 3.5").select("doc_id")
@@ -140,4 +150,4 @@ SQL = {
     "p1_records": _KEYED + "SELECT keep_id, n_copies FROM reps WHERE match_id = keep_id",
 }
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_levels": p9_levels}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_confidence": p5_confidence, "p6_found": p6_found, "p6_entities": p6_entities, "p7_ids": p7_ids, "p7_chunked_ids": p7_chunked_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_clamped_shares": p8_clamped_shares, "p9_found": p9_found, "p9_levels": p9_levels}

@@ -3,8 +3,8 @@
 A text is cut into chunks that overlap. Each chunk is split into pre-tokens on its own. A scan that starts inside
 a pre-token may begin with wrong boundaries, but from the first boundary that it shares with the scan of the chunk
 before, both are the same, as a pre-token depends only on what follows its start. Texts are cut there, but not
-after white space, whose end depends on what follows, and the pieces encoded independently. A text whose chunks share no boundary in an overlap is encoded whole. Decoding
-concatenates the bytes of the ids.
+after white space, whose end depends on what follows, and the pieces encoded independently. Texts whose chunks share no boundary
+in an overlap are cut again with chunks and overlaps eight times as wide. Decoding concatenates the bytes of the ids.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql.functions import pandas_udf
 from ..session import cut_lineage
 
 #: Characters of a chunk, and of the overlap on either side of its end.
-CHUNK, OVERLAP = 200_000, 2_000
+CHUNK, OVERLAP = 20_000, 500
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -80,7 +80,8 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None, ch
     """(key, ids) of every row: the ids of its whole text; the empty list for an empty or null text.
 
     key must be unique. Strings that look like special tokens are ordinary text. Texts of up to chunk characters are
-    encoded in one go; longer ones in chunks that are spread over the cluster.
+    encoded in one go; longer ones in chunks that are spread over the cluster. Where neighbouring chunks of a text share
+    no boundary, as in one endless word, the text is cut again, wider.
     """
     path = path or vocabulary()
     encode = _encode(path)
@@ -103,12 +104,14 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str | None = None, ch
     cuts = scanned.select("_key", "_i", "_at").withColumn("_from", F.when(F.col("_i") == 0, F.lit(0)).otherwise(shared)).select("_key", "_i", "_from")
     cuts = cuts.withColumn("_to", F.lead("_from").over(order)).withColumn("_bad", F.max((F.col("_from").isNull()).cast("int")).over(Window.partitionBy("_key")))
     bad = cuts.filter((F.col("_bad") == 1) & (F.col("_i") == 0)).select("_key")
-    whole = long.join(bad, "_key", "left_semi").select(F.col("_key").alias(key), encode("_text").alias("ids"))
+    whole = cut_lineage(long.join(bad, "_key", "left_semi"))
+    wider = encode_texts(whole, "_key", "_text", path, 8 * chunk, 8 * overlap).withColumnRenamed("_key", key) if whole.limit(1).count() else None
     good = pieces.join(cuts.filter(F.col("_bad") == 0), ["_key", "_i"])
     piece = F.substring(F.col("_part"), F.col("_from") - F.col("_start") + 1, F.coalesce(F.col("_to"), F.col("_all")) - F.col("_from"))
     coded = good.select("_key", "_i", piece.alias("_piece")).select("_key", F.struct("_i", encode("_piece").alias("ids")).alias("_p"))
     stitched = coded.groupBy("_key").agg(F.array_sort(F.collect_list("_p")).alias("_ps")).select(F.col("_key").alias(key), F.flatten(F.col("_ps.ids")).alias("ids"))
-    return short.unionByName(stitched).unionByName(whole)
+    out = short.unionByName(stitched)
+    return out if wider is None else out.unionByName(wider)
 
 
 def token_count(text: Column, path: str | None = None) -> Column:
@@ -121,7 +124,8 @@ def token_count(text: Column, path: str | None = None) -> Column:
         for texts in batches:
             yield pd.Series([len(coder.encode_ordinary(x)) if isinstance(x, str) else 0 for x in texts], dtype="int32")
 
-    return count(text)
+    # Else a filter on the number would be pushed below the projection and encode everything twice.
+    return count.asNondeterministic()(text)
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
