@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from plantweave.llm.reading import fit, fit_labels, is_prose, pool_adjacent, reading_level
+from plantweave.llm.reading import features, fit, fit_labels, is_prose, pool_adjacent, reading_level, tokenise
 
 EASY = "Der Wind ist stark. Das Rad dreht sich. Wir haben Strom. Oma kocht und das Licht ist an. Ein Hund sitzt am Tor. Alle warten auf die Sonne. "
 HARD = "Unbeschadet der Verpflichtungen nach Absatz 8 hat der Verpflichtete die zur Ermittlung des finanziellen Ausgleichs erforderlichen Abrechnungsgrundlagen unverzüglich in nachprüfbarer Form zu übermitteln, soweit nicht überwiegende schutzwürdige Interessen Dritter entgegenstehen. "
@@ -24,9 +24,29 @@ def test_long_pieces_are_searched_whole():
     assert is_prose(HARD + " ".join(["x" * 100_000] * 6))
 
 
+def test_batches_read_like_single_texts():
+    texts = [EASY, HARD, None, "", EASY + HARD, "x", HARD * 3]
+    ranker = fit([EASY, HARD, EASY * 2, HARD * 2] * 3, [1, 5, 1, 5] * 3)
+    together, alone = ranker.read(texts), np.array([ranker.read([t])[0] for t in texts])
+    assert np.allclose(together, alone, equal_nan=True) and np.isnan(together[[2, 3, 5]]).all()
+    # Words, pairs of words with the last before the first, and ends of words, each by the root of its number.
+    x = features(["ab cd ab"], tokenise(["ab cd ab"]))
+    assert abs((x.value**2).sum() - 1) < 1e-9 and sorted(np.round(x.value**2 * 9).astype(int)) == [1, 1, 1, 1, 1, 2, 2]
+
+
+def test_other_languages_have_no_level():
+    rng = np.random.default_rng(1)
+    german, english = (EASY + HARD).split(), "the wind is strong and the plant has to be shut down because the grid cannot take more power than the lines of this region are built for, which must be paid by all customers".split()
+    texts = [" ".join(rng.permutation(w * 3)[:60]) for w in [german, english] * 20]
+    ranker = fit(texts, [1, 5] * 20)
+    french = "Le parc éolien produit de l'électricité pour la région et les habitants sont très contents de cette nouvelle installation qui remplace la vieille centrale à charbon fermée depuis deux ans."
+    polish = "Elektrownia wiatrowa produkuje prąd dla całego regionu, a mieszkańcy są bardzo zadowoleni z nowej instalacji, która zastąpiła starą elektrownię węglową zamkniętą dwa lata temu przez zarząd spółki."
+    assert np.isnan(ranker.read([french, polish])).all() and not np.isnan(ranker.read(texts)).any()
+
+
 def test_isotonic():
     x, y = pool_adjacent(np.array([1.0, 2.0, 3.0, 4.0]), np.array([1.0, 3.0, 2.0, 4.0]))
-    assert list(y) == [1.0, 2.5, 4.0] and list(x) == [1.0, 2.5, 4.0]
+    assert list(y) == [1.0, 1.0, 2.5, 2.5, 4.0, 4.0] and list(x) == [1.0, 1.0, 2.0, 3.0, 4.0, 4.0]
 
 
 def test_levels_held_out(spark):
