@@ -33,3 +33,13 @@ def local_day(wall: Column, zone_label: Column, zone: str = "Europe/Berlin") ->
 
 def written_year(date: Column) -> Column:
     return F.year(F.try_to_timestamp(date, F.lit("dd.MM.yyyy")))
+
+
+def day_label(day: Column) -> Column:
+    """5 Jan 2024."""
+    return F.date_format(day, "d MMM yyyy")
+
+
+def month_label(day: Column) -> Column:
+    """Jan 2024."""
+    return F.date_format(day, "MMM yyyy")

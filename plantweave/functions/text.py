@@ -125,8 +125,11 @@ def fuels_allowed(energy: Column) -> Column:
 
 
 def percent_encoded(c: Column) -> Column:
-    """A URL path segment: %20 for blanks, slashes kept."""
-    return F.replace(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    """A URL path: all but letters, digits, slashes and . _ - ~ encoded."""
+    out = F.url_encode(c)
+    for form, path in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(form), F.lit(path))
+    return out
 
 
 def html_escaped(c: Column) -> Column:
@@ -146,6 +149,11 @@ def union_sorted(arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.collect_list(arrays)), lambda x: x != "")))
 
 
+def union_cells(cells: Column) -> Column:
+    """An aggregate: the distinct parts of comma-separated cells, sorted, as one cell; empty if there are none."""
+    return F.array_join(union_sorted(F.transform(F.split(cells, ","), F.trim)), ",")
+
+
 def id_lists(project: Column, eic: Column) -> tuple[Column, Column, Column]:
     """(mastr, opsd, eic) ids of a cell that holds a dictionary of lists, and of the column of codes beside it.
 

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..functions.text import listed_parts
 from .entries import last_wins
 
+#: What a stage tells of an entry.
 MATCH = ["matched_id", "id_source", "method", "confidence", "lat", "lon"]
 
 
-def merged(stages: list[DataFrame], key: str = "betroffene_anlage") -> DataFrame:
-    """One row a key from the stages in order of their precedence, the last one that has the key winning."""
-    return last_wins([s.select(key, *[F.col(c) if c in s.columns else F.lit(None).cast("string").alias(c) for c in MATCH]) for s in stages], key)
+def merged(stages: list[DataFrame], key: str = "betroffene_anlage", columns: list[str] = MATCH) -> DataFrame:
+    """One row a key from the stages in order of their precedence, the last one that has the key winning.
+
+    Columns that a stage lacks are null in its rows; of several rows of a key in one stage the smallest as JSON wins.
+    """
+    return last_wins([s.select(key, *[F.col(c) if c in s.columns else F.lit(None).alias(c) for c in columns]) for s in stages], key)
 
 
 def onto_base(base: DataFrame, matches: DataFrame, key: str = "betroffene_anlage") -> DataFrame:
-    """Every row of the base with its match or nulls; the number of rows stays, as matches hold a key once."""
-    return base.join(matches, key, "left")
+    """Every row of the base with its match or nulls. A key that matches hold twice is an error when it runs, so the number of rows stays."""
+    once = matches.groupBy(key).agg(*[F.first(c).alias(c) for c in matches.columns if c != key], F.count(F.lit(1)).alias("_n"))
+    sure = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("several matches of "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return base.join(once.filter(sure).drop("_n"), key, "left")
 
 
 def composed(bundles: DataFrame, matches: DataFrame, key: str = "betroffene_anlage") -> DataFrame:

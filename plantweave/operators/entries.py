@@ -63,3 +63,8 @@ def last_wins(sources: list[DataFrame], key: str) -> DataFrame:
 def first_by(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """The values of each group's first row in an explicit order."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(order, *values)).alias("_row")).select(*keys, "_row.*")
+
+
+def first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
+    """(column, first): the distinct values of a column with the least order that has each, as they come up; null is none."""
+    return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("first"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..functions.text import plain_name, union_sorted
+from ..session import cut_lineage
 from .spatial import nearest_within
 
 # Fuels of the second registry in the words of the first.
@@ -23,12 +24,13 @@ def first_listed(rows: DataFrame, key: str, ids: str, names: DataFrame) -> DataF
     return listed.join(names, "id").groupBy(key).agg(F.min_by("name", F.struct("_i", "name")).alias("name"))
 
 
-def farms(units: DataFrame, keys: list[str], order: str, km: float = 50.0, keep_null_keys: bool = False) -> DataFrame:
+def farms(units: DataFrame, keys: list[str], order: str, km: float = 50.0, keep_null_keys: bool = False, lists: tuple[str, ...] = (), firsts: tuple[str, ...] = ()) -> DataFrame:
     """Units of equal keys merged to one row if all lie within km of their mean place; else kept as they are.
 
     units: the keys, order, id, capacity, lat, lon. Result: keys, id (of the first unit), capacity, lat, lon, n_units,
     source_ids. Rows with a null key are left out unless keep_null_keys. Units without coordinates never part a farm.
-    A group is summed up before it meets its rows, so a hot key needs no window over all its rows.
+    lists: columns of arrays that are united, distinct and sorted, without empty texts. firsts: columns of which the first unit's value
+    that is neither null nor empty counts. A group is summed up before it meets its rows, so a hot key needs no window over all its rows.
     """
     if not keep_null_keys:
         units = units.dropna(subset=keys)
@@ -42,6 +44,8 @@ def farms(units: DataFrame, keys: list[str], order: str, km: float = 50.0, keep_
         F.count(F.lit(1)).alias("n_units"), F.coalesce(F.max("_d"), F.lit(0.0)).alias("_span"), F.min_by("id", F.struct(order, "id")).alias("id"),
         F.sum("capacity").alias("capacity"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"),
         F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("source_ids"),
+        *[union_sorted(F.coalesce(c, F.array().cast("array<string>"))).alias(c) for c in lists],
+        *[F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.struct(order, "id"))).alias(c) for c in firsts],
     )
     merged = summed.filter((F.col("n_units") > 1) & (F.col("_span") <= km)).drop("_span")
     kept = summed.filter((F.col("n_units") == 1) | (F.col("_span") > km)).select(*[F.col(k).alias(f"_k_{k}") for k in keys])
@@ -49,7 +53,8 @@ def farms(units: DataFrame, keys: list[str], order: str, km: float = 50.0, keep_
     for k in keys:
         x = units[k].eqNullSafe(kept[f"_k_{k}"])
         on = x if on is None else on & x
-    alone = units.join(kept, on, "left_semi").select(*keys, "id", "capacity", "lat", "lon", F.lit(1).cast("long").alias("n_units"), F.col("id").cast("string").alias("source_ids"))
+    alone = units.join(kept, on, "left_semi").select(*keys, "id", "capacity", "lat", "lon", F.lit(1).cast("long").alias("n_units"), F.col("id").cast("string").alias("source_ids"),
+        *[F.array_sort(F.array_distinct(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x != ""))).alias(c) for c in lists], *[F.nullif(F.col(c), F.lit("")).alias(c) for c in firsts])
     return merged.select(alone.columns).unionByName(alone)
 
 
@@ -66,6 +71,22 @@ def filled_gaps(spine: DataFrame, other: DataFrame, referenced: Column, km: floa
     return near, new
 
 
+def with_gaps_filled(spine: DataFrame, other: DataFrame, referenced: str, km: float = 0.5) -> DataFrame:
+    """The spine with what another registry adds: ids of reconciled rows in the list `referenced`, and new rows.
+
+    spine: id (text), name, fueltype, capacity, lat, lon, and the list. other: the same without the list. A row that is
+    reconciled also fills in the plant's missing fuel and capacity (ties by the smaller id); a new one has its own id in the list.
+    """
+    near, new = filled_gaps(spine, other, F.col(referenced), km)
+    told = near.join(other.select(F.col("id").cast("string").alias("other_id"), F.col("fueltype").alias("_f"), F.col("capacity").alias("_c")), "other_id")
+    added = told.groupBy("id").agg(F.collect_list("other_id").alias("_ids"), F.min_by("_f", F.when(F.col("_f").isNotNull(), F.col("other_id"))).alias("_f"), F.min_by("_c", F.when(F.col("_c") > 0, F.col("other_id"))).alias("_c"))
+    columns = ["id", "name", "fueltype", "capacity", "lat", "lon", referenced]
+    united = F.array_sort(F.array_distinct(F.concat(referenced, F.coalesce("_ids", F.array().cast("array<string>")))))
+    size = F.when(F.coalesce("capacity", F.lit(0.0)) == 0, F.coalesce("_c", "capacity")).otherwise(F.col("capacity"))
+    enriched = spine.join(added, "id", "left").withColumn(referenced, united).withColumn("capacity", size).withColumn("fueltype", F.coalesce("fueltype", "_f"))
+    return enriched.select(*columns).unionByName(new.withColumn(referenced, F.array("id")).select(*columns))
+
+
 def eligible(plants: DataFrame, least_mw: float = 1.0, least_plants: int = 3) -> DataFrame:
     """Located plants of cluster fuels and enough capacity, of fuel and technology pairs with enough plants."""
     fit = plants.filter((F.col("capacity") >= least_mw) & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("fueltype").isin(CLUSTER_FUELS))
@@ -83,9 +104,22 @@ def cluster_rows(plants: DataFrame, components: DataFrame, least_plants: int = 3
         F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("source_ids"),
         F.array_join(F.array_sort(F.collect_set(F.when(alias != "", alias))), ", ").alias("aliases"),
     ).filter(F.col("n_plants") >= least_plants)
-    # Numbers run over the clusters, which are few beside the plants.
-    order = Window.orderBy("fueltype", "technology", "component")
-    return summed.withColumn("cluster_id", F.row_number().over(order).cast("long") + F.lit(first_id - 1))
+    return numbered(summed, ["fueltype", "technology", "component"], "cluster_id", first_id)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, first: int) -> DataFrame:
+    """rows with running numbers from first on, in an order without ties.
+
+    Rows are sorted in ranges; each range counts on from the number of rows before it, so no task sees them all. The
+    ranges' sizes come to the driver, one number a range.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before, at = F.lit(0).cast("long"), first
+    for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).orderBy("_range").collect():
+        before = F.when(F.col("_range") == r["_range"], F.lit(at).cast("long")).otherwise(before)
+        at += r.n
+    own = Window.partitionBy("_range").orderBy(*order)
+    return ranged.withColumn(name, before + F.row_number().over(own) - 1).drop("_range")
 
 
 def name_variants(*names: Column) -> Column:
@@ -93,4 +127,4 @@ def name_variants(*names: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*names), lambda n: n.isNotNull() & (n != "") & (n != "nan")))), " | ")
 
 
-__all__ = ["FUEL_NAMES", "cluster_rows", "eligible", "farms", "filled_gaps", "first_listed", "name_variants", "union_sorted"]
+__all__ = ["FUEL_NAMES", "cluster_rows", "eligible", "farms", "filled_gaps", "first_listed", "name_variants", "numbered", "union_sorted", "with_gaps_filled"]

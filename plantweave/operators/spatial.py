@@ -22,11 +22,22 @@ def _places(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(F.col(f"{prefix}_lat").alias("lat"), F.col(f"{prefix}_lon").alias("lon")).distinct()
 
 
-def near_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, left_also: tuple[str, ...] = (), right_also: tuple[str, ...] = ()) -> DataFrame:
-    """(q_id, p_id, km, and q_ and p_ columns) of rows with lat and lon at most km apart."""
+def near_rows(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, left_also: tuple[str, ...] = (), right_also: tuple[str, ...] = (), same: tuple[str, ...] = (), ordered: bool = False) -> DataFrame:
+    """(q_id, p_id, km, and q_ and p_ columns) of rows with lat and lon at most km apart.
+
+    same: columns, among the others of both sides, that must be equal, null to null; ordered: only with q_id < p_id. Both are
+    conditions of the join that turns places into rows, so what they leave out is never made.
+    """
     a, b = _located(left, left_id, "q", *left_also), _located(right, right_id, "p", *right_also)
     pairs = place_pairs(_places(a, "q"), _places(b, "p"), km).hint("merge")  # their number isn't known to the optimizer
-    return pairs.join(a, ["q_lat", "q_lon"]).hint("merge").join(b, ["p_lat", "p_lon"])
+    left = pairs.join(a, ["q_lat", "q_lon"]).hint("merge")
+    if not same and not ordered:
+        return left.join(b, ["p_lat", "p_lon"])
+    b = b.withColumnRenamed("p_lat", "_lat").withColumnRenamed("p_lon", "_lon")
+    on = (F.col("p_lat") == F.col("_lat")) & (F.col("p_lon") == F.col("_lon"))
+    for c in same:
+        on &= F.col(f"q_{c}").eqNullSafe(F.col(f"p_{c}"))
+    return left.join(b, on & (F.col("q_id") < F.col("p_id")) if ordered else on).drop("_lat", "_lon")
 
 
 def grid_pairs(points: DataFrame, key: str, km: float, size: float = 0.1, strict: bool = True, within: tuple[str, ...] = ()) -> DataFrame:
@@ -35,9 +46,7 @@ def grid_pairs(points: DataFrame, key: str, km: float, size: float = 0.1, strict
     strict: only those whose grid cells touch count, as in a search through neighbouring cells; this loses pairs where
     cells are narrower than the distance. Else all count. within: columns that must be equal.
     """
-    pairs = near_rows(points, points, key, key, km, within, within).filter(F.col("q_id") < F.col("p_id"))
-    for c in within:
-        pairs = pairs.filter(F.col(f"q_{c}").eqNullSafe(F.col(f"p_{c}")))
+    pairs = near_rows(points, points, key, key, km, within, within, within, ordered=True)
     if strict:
         touch = [F.abs(cell(F.col(f"q_{c}"), size) - cell(F.col(f"p_{c}"), size)) <= 1 for c in ("lat", "lon")]
         pairs = pairs.filter(touch[0] & touch[1])
@@ -56,20 +65,20 @@ def nearest_within(queries: DataFrame, points: DataFrame, query_id: str, point_i
 def nearest(queries: DataFrame, points: DataFrame, query_id: str, point_id: str, start_km: float = 5.0) -> DataFrame:
     """(q_id, p_id, km): the nearest point of each located query, however far; ties by the smaller id.
 
-    The distance grows eightfold for those that found none, up to half the earth, so few queries see far points. No points
-    give no rows.
+    The distance doubles for those that found none, up to half the earth, so a query meets points at most twice as far as its
+    nearest one. No points give no rows.
     """
     asked = cut_lineage(_located(queries, query_id, "q"))
     there = cut_lineage(_located(points, point_id, "p"))
     cut = sections(_places(there, "p"))
     found, km, order = None, start_km, F.struct("km", "p_id")
-    while found is None or (cut.n and km < 160_000 and asked.limit(1).count()):
+    while found is None or (cut.n and km < 40_200 and asked.limit(1).count()):
         pairs = place_pairs(_places(asked, "q"), cut, min(km, 20_100.0)).hint("merge")
         rows = pairs.join(asked, ["q_lat", "q_lon"]).hint("merge").join(there, ["p_lat", "p_lon"])
         some = cut_lineage(rows.groupBy("q_id").agg(F.min_by(F.struct("p_id", "km"), order).alias("_b")).select("q_id", "_b.p_id", "_b.km"))
         found = some if found is None else found.unionByName(some)
         asked = cut_lineage(asked.join(some.select("q_id"), "q_id", "left_anti"))
-        km *= 8
+        km *= 2
     return found
 
 
@@ -99,7 +108,7 @@ def densest_balls(points: DataFrame, group: str, key: str, km: float = 25.0, sma
     Neighbours are counted by the range join over places of one group only as far as they lie within km.
     """
     totals = points.groupBy(group).agg(F.count(F.lit(1)).alias("gathered"))
-    pairs = near_rows(points, points, key, key, km, (group,), (group,)).filter(F.col(f"q_{group}") == F.col(f"p_{group}"))
+    pairs = near_rows(points, points, key, key, km, (group,), (group,), (group,))
     counts = pairs.groupBy(F.col(f"q_{group}").alias(group), F.col("q_id").alias("centre")).agg(F.count(F.lit(1)).alias("core"))
     best = counts.groupBy(group).agg(F.min_by(F.struct("centre", "core"), F.struct(-F.col("core"), F.col("centre"))).alias("_b"))
     joined = totals.join(best, group, "left").select(group, "_b.centre", "gathered", F.coalesce("_b.core", F.lit(0)).cast("long").alias("core"))

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.days import local_day, written_moment, written_year
 from ..functions.figures import balance, marker_radius
 from ..functions.text import decimal_comma, filled, stripped
+from .registry import numbered
 
+# The categories of volumes, and the types of entries that stand for no single plant.
 CATEGORIES = ["matched high", "matched medium", "matched low", "unmatched", "aggregate", "out of scope"]
 AGGREGATES = ["control_reserve", "substation", "regional_renewable", "countertrade", "emergency", "foreign"]
 
@@ -109,6 +111,23 @@ def window_view(daily_rows: DataFrame, first_day: str, last_day: str, confidence
     return summed.crossJoin(F.broadcast(scale)).select(key, "inc", "dec", shown.alias("shown"), marker_radius(F.col("inc") + F.col("dec"), F.col("_rate") * length).alias("radius"), balance(F.col("inc"), F.col("dec")).alias("balance"))
 
 
+def type_shown(entry: Column, confidence: Column, plants: bool = True, clusters: bool = True, confidences: Sequence[str] = ("high", "medium", "low", "none")) -> Column:
+    """Whether two switches, for plants and for clusters, and a set of confidences let an entry be seen."""
+    return F.coalesce(F.when(entry == "cluster", F.lit(clusters)).otherwise(F.lit(plants)) & confidence.isin([*confidences]), F.lit(False))
+
+
+def window_shares(daily_rows: DataFrame, shown: Column, first_day: str, last_day: str, key: str = "name") -> DataFrame:
+    """(key, mwh, pct, place) of the keys that are shown, the largest first: pct of all volume in the window, hidden keys' too.
+
+    daily_rows: key, day, inc, dec and what shown reads; place counts from 1, ties by key.
+    """
+    inside = daily_rows.filter(F.col("day").between(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
+    summed = inside.groupBy(key, shown.alias("_shown")).agg(exact_sum(F.col("inc") + F.col("dec")).alias("mwh"))
+    total = summed.agg(exact_sum("mwh").alias("_all"))  # one row
+    out = summed.filter("_shown").crossJoin(F.broadcast(total)).select(key, "mwh", (100 * F.col("mwh") / F.nullif(F.col("_all"), F.lit(0.0))).alias("pct"))
+    return numbered(out.withColumn("_less", -F.col("mwh")), ["_less", key], "place", 1).drop("_less").orderBy("place")
+
+
 def shares_of_total(df: DataFrame, by: str) -> DataFrame:
     """(by, mwh, pct) of the whole, the largest first. The total is taken over the groups."""
     grouped = df.groupBy(by).agg(exact_sum("mwh").alias("mwh"))

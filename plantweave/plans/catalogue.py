@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import figures, text
 from ..functions.days import clock_change, local_day, written_moment
 from ..operators import components, decisions, entries, lookup, registry, shortlist, spatial, volumes
-from ..session import maybe_broadcast, shared_folder, table
+from ..session import cut_lineage, maybe_broadcast, shared_folder, table
 from ..sources import resolvers
 from ..streaming import daily as stream
 from . import pipeline
@@ -105,15 +105,16 @@ _CATS = ["matched high", "matched medium", "matched low", "unmatched", "aggregat
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a name from the exact, cluster and residual matches, later stages first."""
-    name = F.trim("betroffene_anlage").alias("name")
+    """One row a name from the exact, cluster and residual matches, later stages first, of a stage's rows the first."""
+    columns = ["entry_type", "confidence", "matched_id", "lat", "lon"]
+    named = lambda t: table(spark, sf_dir, t).withColumn("name", F.trim("betroffene_anlage")).filter("name IS NOT NULL")
     none = F.lit(None).cast("double")
-    exact = table(spark, sf_dir, "matches_exact").select(name, "entry_type", F.when(F.col("matched_id").isNull(), "none").otherwise("high").alias("confidence"), "matched_id", none.alias("lat"), none.alias("lon"), F.lit(0).alias("_p"), F.col("match_id").alias("_id"))
-    cluster = table(spark, sf_dir, "matches_cluster").select(name, F.lit("cluster").alias("entry_type"), F.coalesce("confidence", F.lit("none")).alias("confidence"), "matched_id", "lat", "lon", F.lit(1).alias("_p"), F.col("cluster_id").alias("_id"))
-    wiki = table(spark, sf_dir, "matches_wikipedia").select(name, F.lit("individual").alias("entry_type"), F.coalesce("confidence", F.lit("none")).alias("confidence"), "matched_id", "lat", "lon", F.lit(2).alias("_p"), F.col("wiki_id").alias("_id"))
-    rows = exact.unionByName(cluster).unionByName(wiki).filter(F.col("name").isNotNull())
-    row = F.struct("entry_type", "confidence", "matched_id", "lat", "lon")
-    return rows.groupBy("name").agg(F.min_by(row, F.struct(-F.col("_p"), F.col("_id"))).alias("_r")).select("name", "_r.*")
+    exact = named("matches_exact").withColumn("confidence", F.when(F.col("matched_id").isNull(), "none").otherwise("high")).withColumn("lat", none).withColumn("lon", none)
+    level = F.coalesce("confidence", F.lit("none"))
+    cluster = named("matches_cluster").withColumn("entry_type", F.lit("cluster")).withColumn("confidence", level)
+    wiki = named("matches_wikipedia").withColumn("entry_type", F.lit("individual")).withColumn("confidence", level)
+    stages = [entries.first_by(df, ["name"], order, columns) for df, order in ((exact, "match_id"), (cluster, "cluster_id"), (wiki, "wiki_id"))]
+    return decisions.merged(stages, "name", columns)
 
 
 def categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,38 +264,57 @@ def anti_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIT_SQL = """(CASE e.energy WHEN 'Konventionell' THEN c.fueltype IN ('Natural Gas', 'Hard Coal', 'Lignite', 'Oil', 'Waste', 'Other')
   WHEN 'Erneuerbar' THEN c.fueltype IN ('Solar', 'Wind', 'Hydro', 'Biogas', 'Solid Biomass', 'Geothermal') ELSE TRUE END)
   AND (e.mw IS NULL OR coalesce(c.capacity, 0) = 0 OR c.capacity >= e.mw * 0.7)"""
-_BLOCK_SQL = f"""e AS (SELECT {_plain('betroffene_anlage')} AS norm, min(primaerenergieart) AS energy, max(max_dispatched_mw) AS mw FROM matches_exact WHERE entry_type = 'individual' AND betroffene_anlage IS NOT NULL GROUP BY 1),
-ew AS (SELECT DISTINCT norm, energy, mw, unnest(string_split(norm, ' ')) AS w FROM e),
-v AS (SELECT id, fueltype, capacity, {_plain('name')} AS cand FROM candidate_index WHERE entry_type = 'individual'),
-vw AS (SELECT DISTINCT id, fueltype, capacity, cand, unnest(string_split(cand, ' ')) AS w FROM v),
-pairs AS (SELECT DISTINCT e.norm, c.id, c.cand FROM ew e JOIN vw c ON e.w = c.w WHERE length(e.w) >= 6 AND length(c.cand) >= 4
-  AND e.w NOT IN ('windpark', 'solarpark', 'biogasanlage', 'kraftwerk', 'heizkraftwerk', 'braunkohlekraftwerk', 'gasturbinenkraftwerk', 'pumpspeicherwerk') AND {_FIT_SQL})"""
+_FITTING_SQL = f"""e AS (SELECT {_plain('betroffene_anlage')} AS norm, min(primaerenergieart) AS energy, max(max_dispatched_mw) AS mw FROM matches_exact WHERE entry_type = 'individual' AND betroffene_anlage IS NOT NULL GROUP BY 1),
+v AS (SELECT DISTINCT id, fueltype, capacity, {_plain('n')} AS cand FROM (SELECT id, fueltype, capacity, unnest(string_split(match_names, ' | ')) AS n FROM candidate_index WHERE entry_type = 'individual')),
+c AS (SELECT * FROM v WHERE length(cand) >= 4)"""
 _ASCII = r"regexp_replace(translate({0}, 'äöüß', 'aous'), '[^\x00-\x7F]', '?', 'g')"
-_COMMON_WORDS = ["windpark", "solarpark", "biogasanlage", "kraftwerk", "heizkraftwerk", "braunkohlekraftwerk", "gasturbinenkraftwerk", "pumpspeicherwerk"]
+_LEV_SQL = f"""{_FITTING_SQL},
+s AS (SELECT e.norm, c.id, c.cand, round(1 - levenshtein({_ASCII.format('e.norm')}, {_ASCII.format('c.cand')}) / CAST(greatest(length(e.norm), length(c.cand)) AS DOUBLE), 6) AS score FROM e JOIN c ON {_FIT_SQL}),
+n200 AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, cand, id) AS seen FROM s QUALIFY seen <= 200),
+b AS (SELECT norm, id, max(score) AS score, min(seen) AS seen FROM n200 GROUP BY norm, id),
+r AS (SELECT norm, id, score, row_number() OVER (PARTITION BY norm ORDER BY score DESC, seen) AS rank FROM b QUALIFY rank <= 20)"""
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(norm, id, cand) of distinct entry names and plants that share a telling word, a fuel and a size."""
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     exact = table(spark, sf_dir, "matches_exact").filter("entry_type = 'individual' AND betroffene_anlage IS NOT NULL")
-    e = exact.select(text.plain_name(F.col("betroffene_anlage")).alias("norm"), "primaerenergieart", "max_dispatched_mw").groupBy("norm").agg(F.min("primaerenergieart").alias("energy"), F.max("max_dispatched_mw").alias("mw"))
-    telling = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: (F.length(w) >= 6) & ~w.isin(_COMMON_WORDS)))
-    v = table(spark, sf_dir, "candidate_index").filter("entry_type = 'individual'").select("id", "fueltype", "capacity", text.plain_name(F.col("name")).alias("cand")).filter(F.length("cand") >= 4)
-    met = e.withColumn("w", F.explode(telling(F.col("norm")))).join(v.withColumn("w", F.explode(telling(F.col("cand")))), "w")
-    return met.filter(lookup.fits_fuel(F.col("energy"), F.col("fueltype")) & lookup.fits_power(F.col("mw"), F.col("capacity"))).select("norm", "id", "cand").distinct()
+    return exact.select(text.plain_name(F.col("betroffene_anlage")).alias("query"), "primaerenergieart", "max_dispatched_mw").groupBy("query").agg(F.min("primaerenergieart").alias("energy"), F.max("max_dispatched_mw").alias("mw"))
 
 
-@query(f"WITH {_BLOCK_SQL} SELECT norm, id FROM pairs")
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name of every plant: id, variant, fueltype, capacity."""
+    plants = table(spark, sf_dir, "candidate_index").filter("entry_type = 'individual'").select("id", "fueltype", "capacity", F.explode(F.split("match_names", r" \| ")).alias("_n"))
+    return plants.select("id", text.plain_name(F.col("_n")).alias("variant"), "fueltype", "capacity").filter(F.length("variant") >= 4).distinct()
+
+
+def _ascii(c: Column) -> Column:
+    return F.regexp_replace(F.translate(c, "äöüß", "aous"), r"[^\x00-\x7F]", "?")  # DuckDB counts bytes
+
+
+def _nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(norm, id, score, rank): the twenty plants of the most similar names by edits, of all that fit in fuel and size."""
+    asked = _asked(spark, sf_dir).withColumn("_q", _ascii(F.col("query")))
+    known = _variants(spark, sf_dir).withColumn("v", _ascii(F.col("variant")))
+    fit = lambda v: lookup.fits_fuel(F.col("energy"), v["fueltype"]) & lookup.fits_power(F.col("mw"), v["capacity"])
+    score = lambda v: F.round(1 - F.levenshtein("_q", v["v"]) / F.greatest(F.length("query"), F.length(v["variant"])).cast("double"), 6)
+    return lookup.best_variants(asked, known, fit, score, 20).withColumnRenamed("query", "norm")
+
+
+@query(f"WITH {_FITTING_SQL}, f AS (SELECT id, fueltype, capacity FROM c GROUP BY ALL) SELECT norm, count(c.id) AS n_fit FROM e LEFT JOIN f c ON {_FIT_SQL} GROUP BY norm")
 def prefilter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("norm", "id")
+    """How many plants fit each entry in fuel and size. Plants are counted by fuel and size first, so no pair of an entry and a plant is a row."""
+    sizes = _variants(spark, sf_dir).select("id", "fueltype", "capacity").distinct().groupBy("fueltype", "capacity").agg(F.count(F.lit(1)).alias("n"))
+    by_fuel = sizes.groupBy("fueltype").agg(F.collect_list(F.struct(F.coalesce("capacity", F.lit(0.0)).alias("capacity"), "n")).alias("_sizes"))
+    all_fuels = by_fuel.agg(F.collect_list(F.struct("fueltype", "_sizes")).alias("_all"))  # one row: sizes are few beside plants
+    room = lambda s: F.when(lookup.fits_power(F.col("mw"), s["capacity"]), s["n"]).otherwise(0)
+    fits = lambda f: F.when(lookup.fits_fuel(F.col("energy"), f["fueltype"]), F.aggregate(f["_sizes"], F.lit(0).cast("long"), lambda a, s: a + room(s))).otherwise(0)
+    asked = _asked(spark, sf_dir).crossJoin(maybe_broadcast(all_fuels))  # with one row
+    return asked.select(F.col("query").alias("norm"), F.aggregate("_all", F.lit(0).cast("long"), lambda a, f: a + fits(f)).alias("n_fit"))
 
 
-@query(f"""WITH {_BLOCK_SQL}, s AS (SELECT norm, id, round(1 - levenshtein({_ASCII.format('norm')}, {_ASCII.format('cand')}) / CAST(greatest(length(norm), length(cand)) AS DOUBLE), 6) AS score FROM pairs),
-r AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY score DESC, id) AS rank FROM s) SELECT norm, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 20""")
+@query(f"WITH {_LEV_SQL} SELECT norm, id, score, CAST(rank AS INTEGER) AS rank FROM r")
 def fuzzy_topk_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _pairs(spark, sf_dir)
-    ascii_ = lambda c: F.regexp_replace(F.translate(c, "äöüß", "aous"), r"[^\x00-\x7F]", "?")  # noqa: E731 - DuckDB counts bytes
-    score = F.round(1 - F.levenshtein(ascii_("norm"), ascii_("cand")) / F.greatest(F.length("norm"), F.length("cand")).cast("double"), 6)
-    return lookup.top_k(pairs.select("norm", "id", score.alias("score")), "norm", "score", "id", 20)
+    """The twenty plants most like each name by edits, of the two hundred best of all names of all plants that fit."""
+    return _nearest_names(spark, sf_dir)
 
 
 def _shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,13 +331,13 @@ def fuzzy_topk_wratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shortlist(spark, sf_dir).withColumn("score", F.round("score", 1))
 
 
-@query(f"""WITH {_BLOCK_SQL}, picks AS (SELECT norm, CASE WHEN hash_ = 0 THEN '999' ELSE id END AS id FROM (SELECT norm, min(id) AS id, length(norm) % 3 AS hash_ FROM pairs GROUP BY norm))
-SELECT p.norm, CASE WHEN s.id IS NOT NULL THEN p.id END AS id, s.id IS NULL AS rejected FROM picks p LEFT JOIN (SELECT DISTINCT norm, id FROM pairs) s ON p.norm = s.norm AND p.id = s.id""")
+@query(f"""WITH {_LEV_SQL}, picks AS (SELECT norm, CASE WHEN length(norm) % 3 = 0 THEN '999' ELSE min(id) END AS id FROM r GROUP BY norm)
+SELECT p.norm, CASE WHEN s.id IS NOT NULL THEN p.id END AS id, s.id IS NULL AS rejected FROM picks p LEFT JOIN r s ON p.norm = s.norm AND p.id = s.id""")
 def hallucination_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picks of a chooser, a third of them invented, held against each entry's shortlist."""
-    pairs = _pairs(spark, sf_dir)
-    picks = pairs.groupBy("norm").agg(F.min("id").alias("id")).withColumn("id", F.when(F.length("norm") % 3 == 0, "999").otherwise(F.col("id")))
-    return lookup.guarded(picks, pairs, "norm", "id")
+    listed = cut_lineage(_nearest_names(spark, sf_dir))
+    picks = listed.groupBy("norm").agg(F.min("id").alias("id")).withColumn("id", F.when(F.length("norm") % 3 == 0, "999").otherwise(F.col("id")))
+    return lookup.guarded(picks, listed, "norm", "id")
 
 
 # Registry
@@ -364,18 +384,44 @@ def geo_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.with_singles(points, found, "id")
 
 
-@query()
+def _split_sql(source: str, same: str = "TRUE") -> str:
+    """Three rounds of joining by 10, 5 and 2.5 km, each over what was too wide before, by every (n div 50)-th point."""
+    ctes, part = [f"p0 AS (SELECT *, '' AS part FROM ({source}))"], "p0"
+    for k, km in enumerate((10, 5, 2.5), 1):
+        near = f"abs(trunc(a.lat / CAST(0.1 AS DOUBLE)) - trunc(b.lat / CAST(0.1 AS DOUBLE))) <= 1 AND abs(trunc(a.lon / CAST(0.1 AS DOUBLE)) - trunc(b.lon / CAST(0.1 AS DOUBLE))) <= 1"
+        ctes += [
+            f"e{k} AS (SELECT a.id AS a, b.id AS b FROM {part} a JOIN {part} b ON a.id <> b.id AND a.part = b.part AND {same} AND {near} AND {_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {km})",
+            f"r{k} AS (SELECT DISTINCT a AS id, a AS reach FROM e{k} UNION SELECT r{k}.id, e{k}.b FROM r{k} JOIN e{k} ON r{k}.reach = e{k}.a)",
+            f"c{k} AS (SELECT p.*, coalesce((SELECT min(reach) FROM r{k} r WHERE r.id = p.id), p.id) AS component FROM {part} p)",
+            f"s{k} AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY component) AS n FROM c{k})",
+            f"t{k} AS (SELECT * FROM s{k} WHERE n <= 50 OR i % greatest(1, n // 50) = 0)",
+            f"w{k} AS (SELECT a.component FROM t{k} a JOIN t{k} b USING (component) GROUP BY 1 HAVING max({_HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')}) > 30)",
+            f"p{k} AS (SELECT * REPLACE (component AS part) FROM c{k} WHERE component IN (SELECT component FROM w{k}))",
+            f"q{k} AS (SELECT id, lat, lon, component FROM c{k} " + (f"WHERE component NOT IN (SELECT component FROM w{k})" if km > 2.5 else "") + ")",
+        ]
+        ctes[-2] = f"p{k} AS (SELECT * EXCLUDE (part, component), component AS part FROM c{k} WHERE component IN (SELECT component FROM w{k}))"
+        part = f"p{k}"
+    return ", ".join(ctes) + ", parts AS (SELECT id, component FROM q1 UNION ALL SELECT id, component FROM q2 UNION ALL SELECT id, component FROM q3)"
+
+
+_ELIGIBLE = """SELECT f.id, lat, lon, fueltype, tech, capacity, name FROM (SELECT *, coalesce(technology, '') AS tech FROM candidate_index WHERE entry_type = 'individual' AND capacity >= 1 AND lat IS NOT NULL AND lon IS NOT NULL AND fueltype IN ('Wind', 'Solar', 'Biogas')) f
+SEMI JOIN (SELECT fueltype, tech FROM (SELECT *, coalesce(technology, '') AS tech FROM candidate_index WHERE entry_type = 'individual' AND capacity >= 1 AND lat IS NOT NULL AND lon IS NOT NULL AND fueltype IN ('Wind', 'Solar', 'Biogas')) GROUP BY ALL HAVING count(*) >= 3) USING (fueltype, tech)"""
+
+
+@query(f"WITH RECURSIVE {_split_sql('SELECT id, lat, lon FROM candidate_index WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)')} SELECT id, component FROM parts")
 def split_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, split where a group is wider than 30 km; iterative, so without SQL."""
+    """The same, split where a group is wider than 30 km."""
     points = table(spark, sf_dir, "candidate_index").filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
     return components.clusters(points, "id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_split_sql(_ELIGIBLE, "a.fueltype = b.fueltype AND a.tech = b.tech")}, g AS (SELECT x.fueltype, x.tech AS technology, component, count(*) AS n_plants, sum(capacity) AS capacity, avg(lat) AS lat, avg(lon) AS lon, array_to_string(list_sort(list(x.id)), ',') AS source_ids FROM ({_ELIGIBLE}) x JOIN parts USING (id) GROUP BY 1, 2, 3 HAVING count(*) >= 3)
+SELECT row_number() OVER (ORDER BY fueltype, technology, component) + 9999999 AS cluster_id, fueltype, technology, component, n_plants, round(capacity, 4) AS capacity, round(lat, 4) AS lat, round(lon, 4) AS lon, source_ids FROM g""")
 def cluster_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster candidates for the index: eligible plants of one fuel and technology, joined, split and summed up."""
     plants = registry.eligible(table(spark, sf_dir, "candidate_index").filter("entry_type = 'individual'"))
-    return registry.cluster_rows(plants, components.clusters(plants, "id", within=("fueltype", "technology")))
+    out = registry.cluster_rows(plants, components.clusters(plants, "id", within=("fueltype", "technology")))
+    return out.select("cluster_id", "fueltype", "technology", "component", "n_plants", *[F.round(c, 4).alias(c) for c in ("capacity", "lat", "lon")], "source_ids")
 
 
 _WIKI = "w AS (SELECT wiki_id, betroffene_anlage, matched_id, lat, lon FROM matches_wikipedia WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0))"
@@ -646,15 +692,38 @@ def residual_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "matches_cluster").filter("matched_id IS NULL OR matched_id = '' OR confidence = 'low'").select("cluster_id", "betroffene_anlage")
 
 
-@query(_NEAR + ", n AS (SELECT wiki_id, id, km FROM (SELECT *, row_number() OVER (PARTITION BY wiki_id ORDER BY km, id) AS rn FROM d WHERE km < 0.5) WHERE rn = 1) SELECT CAST(m.wiki_id AS VARCHAR) AS id, n.id AS reconciled FROM matches_wikipedia m LEFT JOIN n USING (wiki_id)")
+_GAPS = _NEAR + """, ref AS (SELECT DISTINCT w2.wiki_id FROM matches_wikipedia w2 JOIN candidate_index i2 ON w2.matched_id = i2.id WHERE w2.wiki_id % 3 <> 0),
+missing AS (SELECT * FROM matches_wikipedia WHERE wiki_id NOT IN (SELECT wiki_id FROM ref)),
+n AS (SELECT wiki_id, id, km FROM (SELECT *, row_number() OVER (PARTITION BY wiki_id ORDER BY km, id) AS rn FROM d WHERE km < 0.5 AND wiki_id IN (SELECT wiki_id FROM missing)) WHERE rn = 1)"""
+
+
+def _spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plant index with the ids of the other registry that it already refers to: of the matched rows two thirds."""
+    held = table(spark, sf_dir, "matches_wikipedia").filter("matched_id IS NOT NULL AND wiki_id % 3 <> 0").groupBy(F.col("matched_id").alias("id")).agg(F.array_sort(F.collect_set(F.col("wiki_id").cast("string"))).alias("known"))
+    return table(spark, sf_dir, "candidate_index").join(held, "id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
+@query(_GAPS + " SELECT CAST(m.wiki_id AS VARCHAR) AS id, n.id AS reconciled FROM missing m LEFT JOIN n USING (wiki_id)")
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Located rows reconciled with a plant strictly closer than half a kilometre, or new (null)."""
+    """Rows that the index doesn't refer to, reconciled with a plant strictly closer than half a kilometre, or new (null)."""
     other = table(spark, sf_dir, "matches_wikipedia").select(F.col("wiki_id").alias("id"), "lat", "lon")
-    spine = table(spark, sf_dir, "candidate_index").select("id", "lat", "lon", F.array().cast("array<string>").alias("known"))
-    near, new = registry.filled_gaps(spine, other, F.col("known"))
+    near, new = registry.filled_gaps(_spine(spark, sf_dir), other, F.col("known"))
     return near.select(F.col("other_id").alias("id"), F.col("id").alias("reconciled")).unionByName(new.select("id", F.lit(None).cast("string").alias("reconciled")))
 
 
+@query(_GAPS + """, sp AS (SELECT i.id, any_value(i.name) AS name, any_value(i.fueltype) AS fueltype, any_value(i.capacity) AS capacity, any_value(i.lat) AS lat, list(DISTINCT CAST(r.wiki_id AS VARCHAR)) FILTER (r.wiki_id IS NOT NULL) AS known
+  FROM candidate_index i LEFT JOIN matches_wikipedia r ON r.matched_id = i.id AND r.wiki_id % 3 <> 0 GROUP BY i.id),
+ad AS (SELECT id, list(CAST(wiki_id AS VARCHAR)) AS more, min(CAST(wiki_id AS VARCHAR)) AS first_ FROM n GROUP BY id)
+SELECT sp.id, name, coalesce(fueltype, CASE WHEN ad.id IS NOT NULL THEN 'Wind' END) AS fueltype, CASE WHEN coalesce(capacity, 0) = 0 AND ad.id IS NOT NULL THEN 1.5 ELSE capacity END AS capacity, lat,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(known, []), coalesce(more, [])))), ',') AS known FROM sp LEFT JOIN ad USING (id)
+UNION ALL SELECT CAST(wiki_id AS VARCHAR), betroffene_anlage, 'Wind', 1.5, lat, CAST(wiki_id AS VARCHAR) FROM missing m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.wiki_id = m.wiki_id)""")
+def filled_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the gaps are filled: reconciled rows enrich their plant, the others are new plants."""
+    other = table(spark, sf_dir, "matches_wikipedia").select(F.col("wiki_id").alias("id"), F.col("betroffene_anlage").alias("name"), F.lit("Wind").alias("fueltype"), F.lit(1.5).alias("capacity"), "lat", "lon")
+    out = registry.with_gaps_filled(_spine(spark, sf_dir), other, "known")
+    return out.select("id", "name", "fueltype", "capacity", "lat", F.array_join("known", ",").alias("known"))
+
+
 _CROSSED = f"""{_INDEX}, cross_ AS (SELECT b.candidate, min(i.candidate) AS other FROM bn b JOIN idx i USING (norm) WHERE b.norm <> '' GROUP BY b.candidate),
 br AS (SELECT norm, coalesce(other, candidate) AS candidate, CASE WHEN other IS NULL THEN 'bnetza' ELSE 'index' END AS id_source FROM bn LEFT JOIN cross_ USING (candidate) WHERE norm IS NOT NULL AND norm <> ''),
 al AS (SELECT norm, candidate, id_source FROM idx WHERE norm IS NOT NULL AND norm <> '' UNION SELECT * FROM br)
