@@ -151,7 +151,7 @@ def union_sorted(arrays: Column) -> Column:
 
 def union_cells(cells: Column) -> Column:
     """An aggregate: the distinct parts of comma-separated cells, sorted, as one cell; empty if there are none."""
-    return F.array_join(union_sorted(F.transform(F.split(cells, ","), F.trim)), ",")
+    return F.array_join(union_sorted(F.transform(F.split(cells, ","), lambda x: F.trim(x))), ",")
 
 
 def id_lists(project: Column, eic: Column) -> tuple[Column, Column, Column]:

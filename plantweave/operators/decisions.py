@@ -73,6 +73,12 @@ def verdict_reason(verdict: Column, title: Column, km: Column, limit: float = 5.
     )
 
 
+def reason_checked(reason: Column, confidence: Column, coord_check: Column, km: Column) -> Column:
+    """A reason with the distance appended where coordinates disagree and the match isn't of high confidence."""
+    doubtful = (coord_check == "disagree") & (F.coalesce(confidence, F.lit("none")) != "high")
+    return F.when(doubtful, F.concat(F.coalesce(reason, F.lit("")), F.format_string("; coordinates %.0f km apart", km))).otherwise(reason)
+
+
 def check(df: DataFrame, **conditions: Column) -> DataFrame:
     """(check, violations): the rows for which a condition isn't true, null included; one pass for all conditions."""
     counted = df.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()])

@@ -565,7 +565,7 @@ def daily_inc_dec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volumes.daily(volumes.volumes(table(spark, sf_dir, "build_data")), "name")
 
 
-_MAPPED = f"""{_VOLUMES}, {_RESOLVED}, mapped AS (SELECT v.*, r.name IS NOT NULL AS known, coalesce(r.confidence, 'none') AS confidence, CASE WHEN r.lat IS NOT NULL AND r.lon IS NOT NULL THEN 'mapped' WHEN trim(coalesce(r.entry_type, '')) = 'countertrade' THEN 'boerse' ELSE 'not_identified' END AS category FROM volumes v LEFT JOIN resolved r ON v.name = r.name)"""
+_MAPPED = f"""{_VOLUMES}, {_RESOLVED}, mapped AS (SELECT v.*, r.name IS NOT NULL AS known, coalesce(r.confidence, 'none') AS confidence, r.entry_type, CASE WHEN r.lat IS NOT NULL AND r.lon IS NOT NULL THEN 'mapped' WHEN trim(coalesce(r.entry_type, '')) = 'countertrade' THEN 'boerse' ELSE 'not_identified' END AS category FROM volumes v LEFT JOIN resolved r ON v.name = r.name)"""
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
