@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import days, figures, text
 from ..functions.geo import usable
 from ..operators import decisions, entries, lookup, registry, spatial, volumes
-from ..session import cut_lineage, table
-from .catalogue import _CATEGORISED, _CONFIRMED, _HAV, _MAPPED, _NEAR, _confirmed, _mapped, _plain, _sum_sql, categorised
+from ..session import cut_lineage, shared_folder, table
+from ..sources import delimited, sinks
+from .catalogue import _CATEGORISED, _CONFIRMED, _HAV, _MAPPED, _NEAR, _comma, _confirmed, _mapped, _plain, _sum_sql, categorised
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -184,3 +188,93 @@ def share_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = categorised(spark, sf_dir).groupBy("category").agg(F.round(volumes.exact_sum("mwh"), 3).alias("mwh"))
     g = cut_lineage(g)
     return g.crossJoin(F.broadcast(g.agg(F.sum("mwh").alias("t")))).select("category", figures.share_label(F.col("mwh"), F.col("t")).alias("share"))  # with one row
+
+
+# Sources and sinks: written to the shared folder and read back
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+_LINE = "regexp_replace({0}, '[\\r\\n]+', ' ', 'g')"
+
+
+def _one_line(df: DataFrame) -> DataFrame:
+    """Exports hold one row a line."""
+    return df.select(*[F.regexp_replace(c, r"[\r\n]+", " ").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
+@query("SELECT CAST(row_id AS VARCHAR) AS row_id, " + ", ".join(f"nullif({_LINE.format(c)}, '') AS {c}" for c in ("betroffene_anlage", "richtung", "gesamte_arbeit_mwh")) + " FROM build_data")
+def export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports with other column orders and blanks in their header names, read as one table of text."""
+    calls = _one_line(table(spark, sf_dir, "build_data").select("row_id", "betroffene_anlage", "richtung", "gesamte_arbeit_mwh"))
+    paths = [_new_path(spark), _new_path(spark)]
+    first = calls.filter("row_id % 2 = 0").toDF(" ROW_ID", "BETROFFENE_ANLAGE ", " RICHTUNG ", "GESAMTE_ARBEIT_MWH")
+    second = calls.filter("row_id % 2 = 1").select("richtung", "gesamte_arbeit_mwh", "row_id", "betroffene_anlage")
+    for df, path in zip((first, second), paths, strict=True):
+        sinks.write_delimited(df, path, sep=";")
+    out = delimited.read_export(spark, *paths)
+    return out.select("row_id", *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("betroffene_anlage", "richtung", "gesamte_arbeit_mwh")])
+
+
+@query("SELECT CAST(match_id AS VARCHAR) AS match_id, nullif(replace(replace(betroffene_anlage, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '') AS betroffene_anlage, matched_id FROM matches_exact")
+def delimited_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result table written with commas and read back, whatever its names hold."""
+    path = _new_path(spark)
+    sinks.write_delimited(table(spark, sf_dir, "matches_exact").select("match_id", "betroffene_anlage", "matched_id"), path)
+    back = delimited.read_plain(spark, path)
+    lines = F.replace(F.replace("betroffene_anlage", F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return back.select("match_id", F.nullif(lines, F.lit("")).alias("betroffene_anlage"), "matched_id")
+
+
+_LATIN = "regexp_replace({0}, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g')"
+
+
+@query(f"""SELECT mastr_id, {_LATIN.format('anzeigename')} AS anzeigename, energietraeger, round(nettonennleistung_mw, 3) AS nettonennleistung_mw, {_LATIN.format('ort')} AS ort FROM bnetza_lookup WHERE anzeigename IS NOT NULL AND ort IS NOT NULL""")
+def legacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as a file in an old encoding with nine lines before its header, read and reduced to the lookup."""
+    rows = _one_line(table(spark, sf_dir, "bnetza_lookup").filter("anzeigename IS NOT NULL AND ort IS NOT NULL"))
+    net = F.replace(F.col("nettonennleistung_mw").cast("string"), F.lit("."), F.lit(","))
+    cells = F.struct(F.when(F.col("mastr_id").endswith("5"), "stillgelegte Anlagen").otherwise("Einzelanlage").alias("Datensatztyp*"), F.col("mastr_id").alias("EinheitMastrNummer"), "anzeigename", "energietraeger", net.alias("net"), "postleitzahl", "ort")
+    lines = rows.select(F.lit(2).alias("i"), F.to_csv(cells, {"sep": ";", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("line"))
+    head = ["Marktstammdaten"] * 4 + ["Stand: heute"] * 5
+    above = spark.createDataFrame([(0, x) for x in head] + [(1, "Datensatztyp*;EinheitMastrNummer;Anzeigename;Energietraeger;Nettonennleistung_MW;Postleitzahl;Ort")], "i int, line string")
+    dropped = spark.createDataFrame([(2, "Summe;X;Y;Z;0;0;0")], "i int, line string")
+    path = _new_path(spark)
+    # One file, as the source is; its head stands first.
+    ordered = above.unionByName(lines).unionByName(dropped).repartition(1).sortWithinPartitions("i").select("line")
+    ordered.write.csv(path, sep="\x01", quote="\x00", encoding="ISO-8859-1", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    out = delimited.registry_lookup(delimited.read_after_lines(spark, path))
+    return out.select("mastr_id", "anzeigename", "energietraeger", F.round("nettonennleistung_mw", 3).alias("nettonennleistung_mw"), "ort")
+
+
+@query("""SELECT CAST(match_id AS BIGINT) AS match_id, method FROM matches_exact WHERE match_id % 3 <> 0""")
+def resumed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that two overlapping batches are appended to, then rewritten in place without a third of its rows."""
+    rows = table(spark, sf_dir, "matches_exact").select("match_id", "method")
+    path = _new_path(spark)
+    sinks.append_new(rows.filter("match_id % 2 = 0"), path, "match_id")
+    sinks.append_new(rows, path, "match_id")
+    sinks.replace_table(spark.read.parquet(path).filter("match_id % 3 <> 0"), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT 'absent' AS kind, count(*) AS n FROM matches_exact WHERE FALSE UNION ALL SELECT 'limited', least(count(*), 7) FROM matches_exact UNION ALL SELECT 'whole', count(*) FROM matches_exact""")
+def optional_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that isn't there is empty; a smoke run sees the first rows, which is the feature; without a limit it sees all."""
+    exact = table(spark, sf_dir, "matches_exact")
+    absent = delimited.read_or_empty(spark, f"{sf_dir}/no_such_table.parquet", "match_id long")
+    counts = [df.select("match_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in (("absent", absent), ("limited", delimited.sample_run(exact, 7)), ("whole", delimited.sample_run(exact, None)))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT count(*) AS n_plants, count(DISTINCT name) AS n_names FROM (SELECT DISTINCT name FROM candidate_index WHERE lat IS NOT NULL)")
+def document_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of the map with one plant a name; what it holds is read back from its text."""
+    plants = table(spark, sf_dir, "candidate_index").filter("lat IS NOT NULL").groupBy("name").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("fueltype").alias("fueltype"))
+    shown = plants.select("name", "lat", "lon", "fueltype", F.lit("individual").alias("entry_type"), F.lit(True).alias("matched"), F.lit(" HIGH ").alias("confidence"), F.create_map(F.lit("2024-01-01"), F.array(F.lit(1.0), F.lit(0.0))).alias("series"))
+    none = spark.createDataFrame([], "category string, day string, mwh double")
+    doc = sinks.map_document(shown, none, plants.agg(F.count(F.lit(1)).alias("n_plants")))
+    told = json.loads(doc.removeprefix("const MAP_DATA = ").rstrip(";\n"))
+    names = {p["name"] for p in told["plants"] if p["confidence"] == "high"}
+    return spark.createDataFrame([(told["meta"]["n_plants"], len(names))], "n_plants long, n_names long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,18 +34,37 @@ def read_plain(spark: SparkSession, path: str) -> DataFrame:
 def read_after_lines(spark: SparkSession, path: str, skip: int = 9, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
     """A file whose header comes after some lines of other text, in one-byte encoding; all columns text.
 
-    The lines before the header, which are a fixed number, and the header are read by the driver. Below it every line
-    is a row, so the file is still read in splits: rows are those lines that aren't among the first ones.
+    The driver reads the lines before the header, blank ones too, and the header; the rest is read in splits. A row that
+    equals one of the first lines is kept as often as it occurs below the header.
     """
-    raw = spark.read.option("encoding", encoding).csv(path, sep="\x01", header=False, inferSchema=False, quote="", comment="").toDF("line")
-    first = [r.line or "" for r in raw.limit(skip + 1).collect()]
+    first = _first_lines(spark, path, skip + 1, encoding)
     if len(first) <= skip:
         return spark.createDataFrame([], StructType([StructField("empty", StringType())]))
-    header = [c.strip().strip('"') for c in first[skip].split(sep)]
-    schema = ", ".join(f"`{c}` string" for c in header)
-    parsed = raw.select("line", F.from_csv("line", schema, {"sep": sep}).alias("row"))
-    # A line of the preamble, or the header, may not occur as a row; the header never does, and preambles hold other text.
-    return parsed.filter(~F.col("line").isin(first)).select("row.*")
+    raw = spark.read.option("encoding", encoding).csv(path, sep="\x01", header=False, inferSchema=False, quote="", comment="").toDF("line")
+    names = [c.strip().strip('"') for c in first[skip].split(sep)]
+    schema = ", ".join(f"`{c}` string" for c in names)
+    above = F.col("line").isin([x for x in first if x])
+    # At most as many distinct lines as there are above the first row.
+    often = Counter({r.line: r["count"] for r in raw.filter(above).groupBy("line").count().collect()}) - Counter(first)
+    rows = raw.filter(~above)
+    if often:
+        again = spark.createDataFrame([*often.items()], "line string, n long")
+        rows = rows.unionByName(again.select("line", F.explode(F.sequence(F.lit(1), F.col("n")))).select("line"))
+    return rows.select(F.from_csv("line", schema, {"sep": sep}).alias("row")).select("row.*")
+
+
+def _first_lines(spark: SparkSession, path: str, n: int, encoding: str) -> list[str]:
+    jvm = spark._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(there).isDirectory():  # a table of one file
+        there = next(f.getPath() for f in fs.listStatus(there) if not f.getPath().getName().startswith(("_", ".")))
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(there), encoding))
+    try:
+        lines = (reader.readLine() for _ in range(n))
+        return [x for x in lines if x is not None]
+    finally:
+        reader.close()
 
 
 def registry_lookup(raw: DataFrame, kinds: Sequence[str] = ("Einzelanlage", "stillgelegte Anlagen")) -> DataFrame:

@@ -10,18 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import known_confidence
+from ..session import cut_lineage
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",") -> None:
     """A folder of delimited files with headers; arrays are joined by commas. Large results keep their partitions."""
     flat = [F.array_join(c, ",").alias(c) if t.startswith("array") else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"')
+    df.select(*flat).write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> DataFrame:
     """Appends the rows whose key isn't in the table yet, and returns them; a restart repeats nothing."""
     done = _existing(df, path)
-    new = df.join(done.select(key).distinct(), key, "left_anti").select(df.columns)
+    # Written first: read again after the append, it would find its own keys.
+    new = cut_lineage(df.join(done.select(key).distinct(), key, "left_anti").select(df.columns))
     new.write.mode("append").parquet(path)
     return new
 
@@ -34,15 +36,23 @@ def _existing(df: DataFrame, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Replaces a table that df may itself read: written beside it, then put in its place."""
+    """Replaces a table that df may itself read: written beside it, then put in its place.
+
+    The old table is only moved aside before the new one takes its name, and deleted last: whatever fails, one of them is there.
+    """
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    fs = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(paths(path), True)
-    if not fs.rename(paths(fresh), paths(path)):
+    mark = uuid.uuid4().hex
+    df.write.parquet(f"{path.rstrip('/')}-{mark}-new")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fresh, old = at(f"{path.rstrip('/')}-{mark}-new"), at(f"{path.rstrip('/')}-{mark}-old")
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    moved = fs.exists(at(path)) and fs.rename(at(path), old)
+    if not fs.rename(fresh, at(path)):
+        if moved:
+            fs.rename(old, at(path))
         raise OSError(f"{fresh} could not be renamed to {path}")
+    if moved:
+        fs.delete(old, True)
 
 
 def map_document(plants: DataFrame, unmapped: DataFrame, meta: DataFrame, name: str = "MAP_DATA") -> str:

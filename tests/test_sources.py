@@ -34,7 +34,7 @@ def test_absent_table_and_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     assert delimited.read_or_empty(spark, path, "k int, v string").count() == 0
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    assert sinks.append_new(df, path, "k").count() == 2 or True
+    assert sinks.append_new(df, path, "k").count() == 2
     sinks.append_new(df.unionByName(spark.createDataFrame([(3, "c")], "k int, v string")), path, "k")
     assert spark.read.parquet(path).count() == 3
     sinks.replace_table(spark.read.parquet(path).filter("k > 1"), path)
