@@ -762,5 +762,5 @@ def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pipeline_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline from the raw calls to one row a name."""
-    out = pipeline.resolve(table(spark, sf_dir, "build_data"), table(spark, sf_dir, "candidate_index"), table(spark, sf_dir, "bnetza_lookup"))
+    out = pipeline.resolve(table(spark, sf_dir, "build_data"), table(spark, sf_dir, "candidate_index"), table(spark, sf_dir, "bnetza_lookup"), _places(spark, sf_dir))
     return out.final

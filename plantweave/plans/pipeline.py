@@ -1,4 +1,7 @@
-"""The whole way from an event log to resolved, located entries and their volumes, as one lazy plan."""
+"""The whole way from an event log to resolved and located entries.
+
+Each stage reads what the stages before it left open; results that several later stages read are written once.
+"""
 
 from __future__ import annotations
 
@@ -25,6 +28,8 @@ class Resolved:
     chosen: DataFrame
     clusters: DataFrame
     pending: DataFrame
+    located: DataFrame
+    bundles: DataFrame
     final: DataFrame
 
 
@@ -35,11 +40,40 @@ def shortlist(open_entries: DataFrame, plants: DataFrame, k: int = 20, least: in
     return most_similar(asked, plants, k, least).select(F.col("entry").alias("betroffene_anlage"), F.col("id").alias("cand_id"), "score", "rank")
 
 
-def resolve(events: DataFrame, index: DataFrame, registry: DataFrame) -> Resolved:
-    """events: an export. index, registry: the plant index and the registry's lookup.
+PLACES = "betroffene_anlage string, lat double, lon double"
+
+
+def _by_location(open_names: DataFrame, places: DataFrame, plants: DataFrame) -> DataFrame:
+    """Entries told by an outside location alone: the nearest plant within 5 km, of low confidence."""
+    at = open_names.join(places, "betroffene_anlage")
+    near = spatial.nearest_within(at, plants, "betroffene_anlage", "id", 5.0, inclusive=True)
+    where = plants.select(F.col("id").alias("matched_id"), "lat", "lon")
+    return near.select(F.col("q_id").alias("betroffene_anlage"), F.col("p_id").alias("matched_id"), F.lit("index").alias("id_source"), F.lit("location").alias("method"), F.lit("low").alias("confidence")).join(where, "matched_id")
+
+
+def _pending_by_location(pending: DataFrame, places: DataFrame, plants: DataFrame) -> DataFrame:
+    """Clusters whose members lie scattered: the renewable plants within 10 km of an outside location."""
+    around = spatial.gathered(pending.select("betroffene_anlage").join(places, "betroffene_anlage"), plants.filter(F.col("fueltype").isin(RENEWABLE)), "betroffene_anlage", "id", 10.0, "capacity")
+    return around.select(F.col("q_id").alias("betroffene_anlage"), "matched_id", F.lit("index").alias("id_source"), F.lit("cluster_location").alias("method"), F.lit("medium").alias("confidence"), "lat", "lon")
+
+
+def _finished(told: DataFrame, merged: DataFrame, places: DataFrame) -> DataFrame:
+    """Every entry with its match, missing coordinates filled in, and how far an outside location lies from it."""
+    filled = decisions.filled_places(decisions.onto_base(told, merged).withColumn("coord_source", F.lit(None).cast("string")), places, "betroffene_anlage")
+    filled = cut_lineage(filled)
+    single = filled.filter("matched_id IS NOT NULL AND lat IS NOT NULL AND coord_source = 'index' AND entry_type <> 'multi_plant'").select("betroffene_anlage", "lat", "lon")
+    return filled.join(spatial.location_confirmed(single, places, "betroffene_anlage"), "betroffene_anlage", "left")
+
+
+def resolve(events: DataFrame, index: DataFrame, registry: DataFrame, places: DataFrame | None = None) -> Resolved:
+    """events: an export. index, registry: the plant index and the registry's lookup. places: outside locations, one row a name
+    (betroffene_anlage, lat, lon); none by default.
 
-    Exact names first, then the best of a shortlist, clusters by the place in their name; later stages win.
+    Exact names first, then the best of a shortlist, clusters by the place in their name or else around their location, entries
+    still open by their location, bundles by their parts. Later stages win. Coordinates that are missing come from places, the
+    others are held against them.
     """
+    places = events.sparkSession.createDataFrame([], PLACES) if places is None else places.select("betroffene_anlage", "lat", "lon")
     told = cut_lineage(entries.entries(events))
     plants = index.filter("entry_type = 'individual'")
     names = lookup.name_index(index, "id", F.split("match_names", r" \| "), "index").unionByName(lookup.name_index(registry, "mastr_id", F.array("anzeigename"), "bnetza"))
@@ -63,5 +97,14 @@ def resolve(events: DataFrame, index: DataFrame, registry: DataFrame) -> Resolve
     clusters = summed.withColumn("id_source", F.lit("index")).withColumn("method", F.lit("cluster_name")).withColumn("confidence", F.lit("high"))
     pending = balls.filter("NOT coherent").select("betroffene_anlage", "gathered", "core")
 
-    merged = decisions.merged([exact, best, clusters])
-    return Resolved(told, exact, best, clusters, pending, decisions.onto_base(told, merged))
+    around = _pending_by_location(pending, places, plants)
+    so_far = cut_lineage(decisions.merged([exact, best, around, clusters]))
+    unmatched = told.filter("entry_type = 'individual'").join(so_far.filter("matched_id IS NOT NULL AND confidence <> 'low'").select("betroffene_anlage"), "betroffene_anlage", "left_anti")
+    located = cut_lineage(_by_location(unmatched.select("betroffene_anlage"), places, plants))
+    merged = cut_lineage(decisions.merged([so_far, located]))
+    of_index = index.select(F.col("id").alias("matched_id"), F.col("name").alias("matched_name"), "capacity", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    single = merged.join(of_index, "matched_id").select("betroffene_anlage", "matched_id", "matched_name", "capacity", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"))
+    bundles = decisions.composed(told.filter("entry_type = 'multi_plant'").select("betroffene_anlage"), single)
+    bundles = cut_lineage(bundles.withColumn("id_source", F.lit("index")).withColumn("method", F.lit("members")))
+    final = _finished(told, decisions.merged([merged, bundles]), places)
+    return Resolved(told, exact, best, clusters, pending, located, bundles, final)
