@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
 from .mojibake import spoiled_values
-from .names import ENERGY, parse
+from .names import ENERGY, NO_WORDS, Words, parse
 from .variants import link_spellings
+from .words import learned_words
 
 _PART = "place string, cut boolean, nick boolean, type string, cluster boolean, block string, direction string, sections string, operator string"
 _FIELDS = ["place", "cut", "nick", "type", "cluster", "block", "direction", "sections", "operator"]
@@ -23,14 +24,14 @@ def _row(p) -> tuple:  # noqa: ANN001
     return tuple(getattr(p, f) for f in _FIELDS)
 
 
-def parse_names(names: DataFrame) -> DataFrame:
+def parse_names(names: DataFrame, words: Words = NO_WORDS) -> DataFrame:
     """names: (name, text), text being the name as it is read. (name, n_parts, part, and the fields of a part)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for name, text in zip(pdf.name, pdf.text, strict=True):
-                parts = parse(text)
+                parts = parse(text, words)
                 rows += [(name, len(parts), i, *_row(p)) for i, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=["name", "n_parts", "part", *_FIELDS])
 
@@ -45,7 +46,7 @@ def restored_names(rows: DataFrame) -> DataFrame:
     return counted.join(spoiled, "name", "left").select("name", "n", F.coalesce("restored", "name").alias("text"))
 
 
-def index_entities(index: DataFrame) -> tuple[DataFrame, DataFrame]:
+def index_entities(index: DataFrame, words: Words = NO_WORDS) -> tuple[DataFrame, DataFrame]:
     """(plants, aliases) of the plant index.
 
     plants: one row an id: id, place, type (C: cluster, empty: unknown), block, direction, sections, capacity (null:
@@ -56,7 +57,7 @@ def index_entities(index: DataFrame) -> tuple[DataFrame, DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                named = [parse(x) for x in [r.name, *(r.match_names or "").split(" | ")] if x]
+                named = [parse(x, words) for x in [r.name, *(r.match_names or "").split(" | ")] if x]
                 named = [p[0] for p in named if len(p) == 1]
                 first = named[0] if named else None
                 energy = ENERGY.get((r.fueltype or "").lower(), set())
@@ -68,7 +69,7 @@ def index_entities(index: DataFrame) -> tuple[DataFrame, DataFrame]:
                         block = next((p.block for p in named if p.block), "")
                         rows.append((r.id, False, first.place, kind, block, "", "", r.capacity or None))
                 for alias in (r.aliases or "").split(", "):
-                    for p in parse(alias)[:1]:
+                    for p in parse(alias, words)[:1]:
                         rows.append((r.id, True, p.place, "C" if p.cluster else p.type, p.block, p.direction, p.sections, None))
             yield pd.DataFrame(rows, columns=["id", "alias", "place", "type", "block", "direction", "sections", "capacity"])
 
@@ -83,8 +84,8 @@ def entity_key(place: Column, kind: Column, block: Column, direction: Column, se
     return F.when(kind == "C", F.concat_ws("|", place, kind, direction, sections)).otherwise(F.concat_ws("|", place, kind, block))
 
 
-def name_entities(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows with their entity, plants).
+def name_entities(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame, Words]:
+    """(rows with their entity, plants, the words that were learned).
 
     rows: rec (any type, unique), name, matched_id (an id of the index, several joined by commas, or null). First
     result: rec, entity, n_parts, place, type, block, direction, sections (those of a single plant), operator.
@@ -92,9 +93,11 @@ def name_entities(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFra
     its own folded text; null and blank names have no entity and come out with nulls.
     """
     rows = rows.select("rec", "name", "matched_id")
-    plants, aliases = index_entities(index)
     names = cut_lineage(restored_names(rows))
-    parts = cut_lineage(parse_names(names).join(names.select("name", "n"), "name"))
+    told = index.select(F.explode(F.array_append(F.split(F.coalesce("match_names", F.lit("")), r" \| "), F.col("name"))).alias("text"))
+    words = learned_words(names, told, index.select(F.explode(F.split("aliases", ", ")).alias("text")).distinct())
+    plants, aliases = index_entities(index, words)
+    parts = cut_lineage(parse_names(names, words).join(names.select("name", "n"), "name"))
 
     # A type that the index doesn't tell is the one that most rows with its id tell.
     single = parts.filter("n_parts = 1 AND type <> ''").select("name", F.col("type").alias("told"))
@@ -130,7 +133,7 @@ def name_entities(rows: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFra
         out = out.withColumn(c, F.when(take, F.col(f"i_{c}")).otherwise(F.col(c)))
     bare = F.regexp_replace(F.lower("name"), r"(?U)[^\w]+", " ")
     out = out.withColumn("entity", F.coalesce("entity", F.when(F.trim(bare) != "", F.concat(F.lit("text|"), F.trim(bare)))))
-    return out.select("rec", "entity", "n_parts", "place", "type", "block", "direction", "sections", "operator"), plants
+    return out.select("rec", "entity", "n_parts", "place", "type", "block", "direction", "sections", "operator"), plants, words
 
 
 def linked_pairs(entities: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km, usable
 from ..session import cut_lineage, spread
-from .names import ENERGY, parse
+from .names import ENERGY, NO_WORDS, Words, parse
 
 CHUNKS, WIDTH, RADIUS = 9, 28, 6
 #: Largest relative difference of two capacities of one plant, and the ratio between capacity classes.
@@ -70,7 +70,7 @@ def close_texts(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Data
     return near.select("l", "r", (2 * both / (2 * both + F.col("_d"))).alias("dice")).dropDuplicates(["l", "r"])
 
 
-def registry_records(registry: DataFrame) -> DataFrame:
+def registry_records(registry: DataFrame, words: Words = NO_WORDS) -> DataFrame:
     """Registry rows taken apart: mastr_id, place, town, types, block, direction, sections, net, generic.
 
     types: what its name or else its energy tells; all types if neither does. generic: its name holds no place.
@@ -81,9 +81,9 @@ def registry_records(registry: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for key, name, energy, net, town in pdf.itertuples(index=False, name=None):
-                parts = parse(name)
+                parts = parse(name, words)
                 p = parts[0] if len(parts) == 1 else None
-                towns = parse((town or "").split(",")[0])
+                towns = parse((town or "").split(",")[0], words)
                 told = sorted(ENERGY.get((energy or "").strip().lower(), ())) or everything
                 generic = p is None or not p.place
                 types = ["C"] if p is not None and p.cluster else [p.type] if p is not None and p.type else told
@@ -262,17 +262,17 @@ def _model(entities: DataFrame, levels: DataFrame, n_near: int, n_places: int, n
     return spark.createDataFrame(data, schema)
 
 
-def match_entities(entities: DataFrame, registry: DataFrame) -> DataFrame:
+def match_entities(entities: DataFrame, registry: DataFrame, words: Words = NO_WORDS) -> DataFrame:
     """(entity, mastr_id, score, probability, confidence) of pairs that may be one plant.
 
     entities: entity (unique), place, type (C: cluster), block, direction, sections, capacity (null: unknown).
     Specific registry names meet entities of a near place, the same type, block, direction and sections. Names
     without a place meet those of their town and type by capacity: the nearest within TOLERANCE; if there is none, the
-    only one of unknown capacity; records without a capacity the only plant of the town and type. Bundles have no
-    match. Repeated registry rows each count. Empty inputs give no pair.
+    only one of unknown capacity; records without a capacity the only plant of the town and type. words: those of operators
+    and grids, which are no places. Bundles have no match. Repeated registry rows each count. Empty inputs give no pair.
     """
     side = cut_lineage(entities.select("entity", F.col("place").alias("l"), "type", "block", "direction", "sections", "capacity").filter("l <> ''"))
-    records = cut_lineage(registry_records(registry))
+    records = cut_lineage(registry_records(registry, words))
     places = cut_lineage(records.select(F.explode(F.array("place", "town")).alias("r")).filter("r <> ''").distinct())
     near = cut_lineage(close_texts(side.select("l").distinct(), places))
     levels = cut_lineage(_levels(_options(cut_lineage(_candidates(records, near)), side)))

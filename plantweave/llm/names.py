@@ -1,14 +1,15 @@
 """Names of plants as people type them, taken apart: place, type, block, direction, voltage sections, operator.
 
-What the short forms mean is fixed; everything that isn't one of them is part of the place. Texts are compared in
-a folded form, in which letter case, umlauts and their substitutes (ae, plain vowel) don't show.
+The short forms of plant types and directions are fixed. Which words are names of operators or grids, and which are the
+adjectives of nicknames, is learned from the corpus (words.py) and given to the parser; everything else is part of the place.
+Texts are compared in a folded form, in which letter case, umlauts and their substitutes (ae, plain vowel) don't show.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 
@@ -35,14 +36,7 @@ BLOCKS = {"block", "blk", "bl"}
 LEGAL = {"gmbh", "ag", "kg", "betriebs", "co", "betriebs-kg", "se", "mbh", "ug"}
 #: Parts of a type whose hyphen was lost.
 MODIFIERS = {"braunkohle": "BKW", "braunkohlen": "BKW", "gasturbinen": "GTKW", "biogas": "BGA", "pumpspeicher": "PSW"}
-GRIDS = {"hva", "nlt", "dux", "qen", "ork", "wsn", "netz", "50hz"}
-OPERATORS = {
-    "brao", "enora", "enorix", "grunleiter", "harkonis", "kestrun", "lumerax", "miravolt", "norwelle", "ombra",
-    "rheta", "skovar", "sudglut", "taelvik", "voltanis", "zentalis",
-}
 FILLERS = {"ee", "und", "u", "der", "die", "das", "des", "anlage", "erzeugungsanlage", "ot", "nr", "von", "am", "an", "bei", "in", "anl", "werk", "park"}
-#: Nicknames are an adjective and the stem of a place.
-NICK = {"alte", "dicke", "graue", "rostige", "rote", "stille", "kleine", "grosse", "schwarze", "weisse", "lange", "blaue", "neue", "grune", "braune", "bunte", "dunne", "junge", "kalte", "warme", "laute", "schone"}
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10, "xi": 11, "xii": 12}
 #: Energy of the registry and of the plant index that goes with each type.
 ENERGY = {
@@ -65,10 +59,45 @@ def fold(text: str) -> str:
 
 FOLDED_TYPES = {fold(k): v for k, v in TYPES.items()}
 FOLDED_CLUSTERS = {fold(k) for k in CLUSTERS}
-FOLDED_OPERATORS = {fold(k) for k in OPERATORS}
 FOLDED_FILLERS = {fold(k) for k in FILLERS}
-FOLDED_NICK = {fold(k) for k in NICK}
-LONG_FORMS = {k: v for k, v in FOLDED_TYPES.items() if len(k) >= 7} | {k: "cluster" for k in FOLDED_CLUSTERS if len(k) >= 7} | {k: "operator" for k in FOLDED_OPERATORS if len(k) >= 6}
+LONG_FORMS = {k: v for k, v in FOLDED_TYPES.items() if len(k) >= 7} | {k: "cluster" for k in FOLDED_CLUSTERS if len(k) >= 7}
+
+
+def _shortened(word: str) -> set[str]:
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+@dataclass(frozen=True)
+class Words:
+    """What the corpus tells of words: companions (operators and grids, which stand beside many places) and adjectives of nicknames."""
+
+    companions: frozenset[str] = frozenset()
+    adjectives: frozenset[str] = frozenset()
+
+    @cached_property
+    def forms(self) -> dict[str, str]:
+        """Long words whose meaning one typing error doesn't hide."""
+        return LONG_FORMS | {k: "operator" for k in self.companions if len(k) >= 6}
+
+    @cached_property
+    def _near(self) -> dict[str, list[str]]:
+        """The long forms by what is left of them without one letter: words within one edit share such a rest."""
+        out: dict[str, list[str]] = {}
+        for form in self.forms:
+            for rest in _shortened(form):
+                out.setdefault(rest, []).append(form)
+        return out
+
+    @lru_cache(maxsize=100_000)
+    def long_form(self, word: str) -> str | None:
+        """The meaning of a long form with one typing error."""
+        if word in self.forms or len(word) < 7:
+            return self.forms.get(word)
+        met = dict.fromkeys(f for rest in _shortened(word) for f in self._near.get(rest, ()))
+        return next((self.forms[f] for f in self.forms if f in met and within(word, f, 1) is not None), None)
+
+
+NO_WORDS = Words()
 
 
 def within(a: str, b: str, k: int, prefix: bool = False) -> int | None:
@@ -94,18 +123,6 @@ def within(a: str, b: str, k: int, prefix: bool = False) -> int | None:
     return d if d <= k else None
 
 
-@lru_cache(maxsize=100_000)
-def _long_form(word: str) -> str | None:
-    """The meaning of a long form with one typing error."""
-    if word in LONG_FORMS:
-        return LONG_FORMS[word]
-    if len(word) >= 7:
-        for form, meaning in LONG_FORMS.items():
-            if within(word, form, 1) is not None:
-                return meaning
-    return None
-
-
 @dataclass
 class Part:
     """One plant, cluster or unit of a name. place is folded; cut: it was shortened; nick: it is a nickname."""
@@ -129,7 +146,7 @@ _ITEM = regex.compile(r"\x01[\d ]+\x01|\x02\d+/\d+|[\p{L}\p{M}]+(?:-(?=\p{L})[\p
 _JOINS = frozenset(",/+&;")
 
 
-def _items(name: str) -> list[tuple[str, str]]:
+def _items(name: str, words: Words) -> list[tuple[str, str]]:
     """(kind, value) of all that a name is made of, in order."""
     text = unicodedata.normalize("NFC", _INVISIBLE.sub("", name))
     text = fold(regex.sub(r"[\s_*\"'„“”‚‘’?]+", " ", text))
@@ -152,7 +169,7 @@ def _items(name: str) -> list[tuple[str, str]]:
                 if word in BLOCKS:
                     keyed = True
                     continue
-                out.append(_meaning(word, dotted, keyed))
+                out.append(_meaning(word, dotted, keyed, words))
                 keyed = keyed and out[-1][0] not in ("block",)
             continue
         keyed = False
@@ -172,7 +189,7 @@ def _pieces(bare: str, dotted: bool) -> list[tuple[str, bool]]:
     return out
 
 
-def _meaning(word: str, dotted: bool, keyed: bool) -> tuple[str, str]:
+def _meaning(word: str, dotted: bool, keyed: bool, words: Words) -> tuple[str, str]:
     if keyed and word in ROMAN:
         return "block", str(ROMAN[word])
     if len(word) == 1:
@@ -183,17 +200,17 @@ def _meaning(word: str, dotted: bool, keyed: bool) -> tuple[str, str]:
         return "cluster", word
     if word in MODIFIERS:
         return "type", MODIFIERS[word]
-    if word in GRIDS or word in LEGAL or word in FOLDED_FILLERS:
+    if word in LEGAL or word in FOLDED_FILLERS:
         return "", word
-    if word in FOLDED_OPERATORS:
+    if word in words.companions:
         return "operator", word
     if word in DIRECTIONS:
         return "direction", DIRECTIONS[word]
     if word in ROMAN:
         return "block", str(ROMAN[word])
-    if word in FOLDED_NICK:
+    if word in words.adjectives:
         return "nick", word
-    if (meaning := _long_form(word)) is not None:
+    if (meaning := words.long_form(word)) is not None:
         return ("cluster", word) if meaning == "cluster" else ("operator", word) if meaning == "operator" else ("type", meaning)
     return ("cut" if dotted and len(word) >= 4 else "word"), word
 
@@ -229,23 +246,30 @@ def _part(items: list[tuple[str, str]]) -> Part:
     return part
 
 
+def _parted(name: str | None, words: Words) -> list[list[tuple[str, str]]]:
+    """What a name is made of, parted at its separators."""
+    pieces: list[list[tuple[str, str]]] = [[]]
+    for x in _items(name, words) if name else []:
+        if x[0] == "join":
+            pieces.append([])
+        else:
+            pieces[-1].append(x)
+    return [p for p in pieces if p]
+
+
+def unknown_words(name: str | None) -> list[list[str]]:
+    """The words of each piece of a name that no fixed list knows, whole ones and shortened ones."""
+    return [[v for k, v in piece if k in ("word", "cut")] for piece in _parted(name, NO_WORDS)]
+
+
 @lru_cache(maxsize=50_000)
-def parse(name: str | None) -> tuple[Part, ...]:
+def parse(name: str | None, words: Words = NO_WORDS) -> tuple[Part, ...]:
     """The plants that a name tells, one for most names, more for a bundle; none for null and blank names.
 
     A name is a bundle if its separators part it into pieces with a place each. Pieces without a place, which may have
     been moved from one end to the other, belong to their neighbours.
     """
-    items = _items(name) if name else []
-    if not items:
-        return ()
-    pieces: list[list[tuple[str, str]]] = [[]]
-    for x in items:
-        if x[0] == "join":
-            pieces.append([])
-        else:
-            pieces[-1].append(x)
-    pieces = [p for p in pieces if p]
+    pieces = _parted(name, words)
     placed = [any(k in ("word", "cut") for k, _ in p) for p in pieces]
     if sum(placed) < 2:
         return (_part([x for p in pieces for x in p]),) if pieces else ()

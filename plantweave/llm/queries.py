@@ -46,13 +46,13 @@ def _p5(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFra
     """Rows that name one plant (rec, entity), the plants of the index, and the pairs of entities and registry rows."""
     exact = table(spark, sf_dir, "matches_exact").select(F.struct(F.lit("exact").alias("rec_kind"), F.col("match_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), "matched_id")
     cluster = table(spark, sf_dir, "matches_cluster").select(F.struct(F.lit("cluster").alias("rec_kind"), F.col("cluster_id").alias("rec_id")).alias("rec"), F.col("betroffene_anlage").alias("name"), F.lit(None).cast("string").alias("matched_id"))
-    rows, plants = name_entities(exact.unionByName(cluster), table(spark, sf_dir, "candidate_index"))
+    rows, plants, words = name_entities(exact.unionByName(cluster), table(spark, sf_dir, "candidate_index"))
     rows = cut_lineage(rows.filter("n_parts = 1"))
     # Plants of the index without a row take part, so that a record isn't given to the next best plant.
     fields = ["entity", "place", "type", "block", "direction", "sections"]
     known = plants.select(*fields, "capacity").unionByName(rows.select(*fields, F.lit(None).cast("double").alias("capacity")))
     entities = known.groupBy("entity").agg(*[F.first(c).alias(c) for c in fields[1:]], F.max("capacity").alias("capacity"))
-    return rows, plants, match_entities(entities, table(spark, sf_dir, "bnetza_lookup"))
+    return rows, plants, match_entities(entities, table(spark, sf_dir, "bnetza_lookup"), words)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from plantweave.llm.entities import linked_pairs, name_entities
 from plantweave.llm import variants
 from plantweave.llm.linkage import bits, calibrated, close_texts, label_reliability, learned_ratios, match_entities, pooled
-from plantweave.llm.names import fold, parse, within
+from plantweave.llm.names import Words, fold, parse, within
 from plantweave.llm.variants import link_spellings
+from plantweave.llm.words import learned_words
+
+
+WORDS = Words(frozenset({"kestrun", "nlt", "brao"}), frozenset({"alte"}))
 
 
 def sig(name):
-    return [(p.place, p.type, p.cluster, p.block, p.direction, p.sections) for p in parse(name)]
+    return [(p.place, p.type, p.cluster, p.block, p.direction, p.sections) for p in parse(name, WORDS)]
 
 
 def test_parse():
@@ -118,7 +122,7 @@ def test_entities_and_pairs(spark):
             (6, "NLT Cluster Köhlmühlebahc Sd. T531", None), (7, "Köhlmühler Solarpark", None), (8, "Waldemarshausen B", None), (9, "PSW Waldemarsh. B", "4"), (10, "WP Köhlmühlebach 4, PSW Waldemarshausen B", None),
             (11, "PSW Waldemarshausen B + WP Köhlmühlebach 4", "1,4"), (12, None, None), (13, " ", "1"), (14, "?", None)]
     df = spark.createDataFrame([(*r, "c", "d") for r in rows], "rec long, name string, matched_id string, entity string, place string")
-    named, plants = name_entities(df, index(spark))
+    named, plants, _ = name_entities(df, index(spark))
     got = sorted(tuple(r) for r in linked_pairs(named).collect())
     assert got == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7), (8, 9), (10, 11)]
     assert named.count() == len(rows) and plants.count() == 4
@@ -126,6 +130,20 @@ def test_entities_and_pairs(spark):
     assert linked_pairs(empty).count() == 0
 
 
+def test_words_are_learned(spark):
+    """Operators that stand in no list, with an error here and there, are told from places by their neighbours."""
+    rng = random.Random(7)
+    places = ["".join(rng.choice(["bal", "dor", "fen", "gar", "lim", "mok", "nur", "pel"]) for _ in range(4)) + "hausen" for _ in range(60)]
+    names = [f"{rng.choice(['WP', 'Solarpark', 'KW'])} {p} {i % 4 + 1} {rng.choice(['Quorin', 'Zephyrex AG', 'Umbrath'])}" for i, p in enumerate(places * 3)]
+    stems = [p[:-6] for p in places]
+    words = learned_words(spark.createDataFrame([(n,) for n in {*names}] + [(None,)], "text string"), spark.createDataFrame([(f"{p} WP",) for p in places], "text string"), spark.createDataFrame([(f"{a} {x}",) for x, a in zip(stems, ["Krumme", "Ferne"] * 30)], "text string"))
+    assert words.companions == {"quorin", "zephyrex", "umbrath"} and words.adjectives == {"krumme", "ferne"}
+    (p,) = parse(f"Zephyrx Windpark {places[0]} Block 2", words)
+    assert (p.place, p.type, p.block) == (fold(places[0]), "WP", "2")
+    none = learned_words(*[spark.createDataFrame([], "text string")] * 3)
+    assert not none.companions and not none.adjectives
+
+
 def test_close_texts_is_exact(spark):
     rng = random.Random(2)
     names = ["".join(rng.choice("abcdefgh") for _ in range(10)) for _ in range(60)]
@@ -150,7 +168,7 @@ def test_match_entities(spark):
         ("S4", "Verbund Köhlmühlebach Süd T531", "", None, None, None, None, "z"), ("S5", "Pumpspeicherwerk der Brão", "", "Pumpspeicher", 300.0, None, "Waldemarshausen", "z"),
         ("S6", None, None, None, None, None, None, None), ("S7", "Windpark Köhlmühlebach 4", "", None, None, None, None, "z"), ("S7b", "Windpark Köhlmühlebach 4", "", None, None, None, None, "z"),
     ], BNETZA)
-    got = {(r.entity, r.mastr_id): r.confidence for r in match_entities(entities, registry).collect()}
+    got = {(r.entity, r.mastr_id): r.confidence for r in match_entities(entities, registry, WORDS).collect()}
     assert {*got} == {("a", "S1"), ("b", "S2"), ("c", "S4"), ("d", "S5"), ("a", "S7"), ("a", "S7b")}
     assert got[("a", "S1")] == "high" and set(got.values()) <= {"high", "medium", "low", "none"}
     assert match_entities(entities.limit(0), registry).count() == 0 and match_entities(entities, registry.limit(0)).count() == 0
