@@ -42,7 +42,7 @@ def restored_names(rows: DataFrame) -> DataFrame:
     """(name, n, text) of the distinct names of rows (name): their number and the text with its encoding put right."""
     counted = rows.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     counted = cut_lineage(counted)
-    spoiled = spoiled_values(counted.select(F.col("name").alias("value"), "n")).withColumnRenamed("value", "name")
+    spoiled = spoiled_values(counted.select(F.col("name").alias("value"), "n")).drop("probability").withColumnRenamed("value", "name")
     return counted.join(spoiled, "name", "left").select("name", "n", F.coalesce("restored", "name").alias("text"))
 
 

@@ -5,7 +5,7 @@ channel makes of each letter is worked out from the codecs; turned round, this g
 letters that it may have had, with wildcards for lost ones, read in any letter case since texts are reformatted
 afterwards. A list Viterbi search under a character model keeps the best paths of each channel, and the words
 they spell are looked up in the corpus by a join. A word is spoiled if a channel explains it better than the
-corpus does as it stands, or if it holds signs that only a wrong encoding produces.
+corpus does as it stands. Signs that only a wrong encoding leaves make it the less likely that it stands as it was written.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ PATHS = 16
 #: Log priors: of a word that was spoiled, more by a multi-byte channel, less for one that becomes no word of the corpus, of a question mark that was added,
 #: of a foreign letter and of a sign inside a word.
 SPOILED, SURE, UNKNOWN, ADDED, FOREIGN, SIGN = -6.0, 4.0, -3.0, -4.0, -12.0, -16.0
+#: Log likelihoods of signs that only a wrong encoding leaves in a word that stands as it was written, and of a word that was spoiled
+#: by none of the channels.
+TELLING, UNDONE = -120.0, -80.0
 
 #: Values that hold none of these are written in plain German letters and can't be spoiled.
 SUSPICIOUS = r"[^\x{0}-\x{7E}äöüÄÖÜß]|\?"
@@ -232,12 +235,15 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                 stripped = _bare(word).strip("?")
                 known = stripped if all(ord(c) <= 126 or c in GERMAN for c in stripped) and "?" not in stripped else None
                 # The corpus' count of a word with foreign letters can't be trusted: copies repeat what is spoiled.
-                out.append((word, word, "", fold(known) if known else None, _as_is(word, model), ADDED if known is not None and known != _bare(word) else 0.0, certain))
+                added = ADDED if known is not None and known != _bare(word) else 0.0
+                out.append((word, word, "", fold(known) if known else None, _as_is(word, model) + TELLING * certain, added + TELLING * certain))
+                if certain:
+                    out.append((word, word, "none of the channels", None, UNDONE + model.score("".join(c for c in fold(word) if c in _ALPHABET)), 0.0))
                 # Foreign letters may be right, signs between letters hardly.
                 letters = all(_is_letter(c) for c in word if ord(c) > 126 and c not in GERMAN) and "?" not in word
                 seen = set()
                 if clean != word:
-                    out.append((word, clean, "byte order mark", fold(clean), SPOILED + model.score(fold(clean)), SPOILED, certain))
+                    out.append((word, clean, "byte order mark", fold(clean), SPOILED + model.score(fold(clean)), SPOILED))
                 for channel in channels():
                     # Sequences of two and more signs hardly come together by chance.
                     sure = SURE if channel.startswith("utf-8") else 0.0
@@ -245,13 +251,13 @@ def _candidates(counts: dict[str, int]) -> Callable[[Iterator[pd.DataFrame]], It
                         if text not in seen:
                             seen.add(text)
                             left = sum(FOREIGN if _is_letter(c) else SIGN for c in text if ord(c) > 126 and c not in WIDE + "\xa0") + SIGN * ("?" in text.strip("?"))
-                            out.append((word, text, channel, fold(text), SPOILED + sure + UNKNOWN * letters + score + left, SPOILED + sure + left, certain))
-            yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior", "certain"]).assign(own=lambda x: [fold(w) for w in x.word])
+                            out.append((word, text, channel, fold(text), SPOILED + sure + UNKNOWN * letters + score + left, SPOILED + sure + left))
+            yield pd.DataFrame(out, columns=["word", "reading", "channel", "folded", "by_model", "prior"]).assign(own=lambda x: [fold(w) for w in x.word])
 
     return run
 
 
-_CANDIDATE = "word string, reading string, channel string, folded string, by_model double, prior double, certain boolean, own string"
+_CANDIDATE = "word string, reading string, channel string, folded string, by_model double, prior double, own string"
 
 
 def _trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,9 +280,10 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def spoiled_values(values: DataFrame) -> DataFrame:
-    """(value, restored) of the spoiled ones among values (value, n): distinct texts with their number of rows.
+    """(value, restored, probability) of the spoiled ones among values (value, n): distinct texts with their number of rows.
 
-    restored: the text with each spoiled word as it most likely was; a word that nothing explains stays as it is.
+    restored: the text with each spoiled word as it most likely was; a word that nothing explains stays as it is. probability: that
+    of the word that is most likely spoiled, of all hypotheses the best one on each side; above a half a value is spoiled.
     Null and empty texts are never spoiled. Frequencies are those of all words of all values.
     """
     parts = cut_lineage(spread(values.filter(F.col("value").isNotNull())).mapInPandas(_cut, "value string, n long, words array<string>, odd array<string>"))
@@ -300,12 +307,13 @@ def spoiled_values(values: DataFrame) -> DataFrame:
     # A reading with foreign letters counts only if it is far more frequent than the word as it stands.
     counts = F.col("plain") | (F.col("n") > 3 * F.coalesce("n_own", F.lit(0)))
     scored = scored.withColumn("score", F.greatest("by_model", F.when(counts, F.col("prior") + F.log(F.col("n") / F.lit(float(total))))))
-    best = F.max_by(F.struct("reading", "channel", "score"), F.struct("score", "reading"))
-    verdict = scored.groupBy("word").agg(best.alias("b"), F.max_by("reading", F.when(F.col("channel") != "", F.struct("score", "reading"))).alias("other"), F.max("certain").alias("certain"))
-    bad = cut_lineage(verdict.filter(F.col("certain") | (F.col("b.channel") != "")).select("word", F.coalesce("other", "word").alias("restored")))
+    # The best spoiled reading against the word as it stands: what is likelier, given all that each implies.
+    as_is, spoiled = F.max(F.when(F.col("channel") == "", F.col("score"))), F.max(F.when(F.col("channel") != "", F.struct("score", "reading")))
+    verdict = scored.groupBy("word").agg(as_is.alias("a"), spoiled.alias("o")).withColumn("probability", 1 / (1 + F.exp(F.col("a") - F.col("o.score"))))
+    bad = cut_lineage(verdict.filter(F.col("probability") > 0.5).select("word", F.col("o.reading").alias("restored"), "probability"))
 
     hit = parts.filter(F.size("odd") > 0).select("value", F.explode(F.array_distinct("odd")).alias("word")).join(maybe_broadcast(bad, row_bytes=200), "word")
-    grouped = hit.groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("word").alias("l"), "word", "restored")), asc=False).alias("fixes"))
+    grouped = hit.groupBy("value").agg(F.sort_array(F.collect_list(F.struct(F.length("word").alias("l"), "word", "restored")), asc=False).alias("fixes"), F.max("probability").alias("probability"))
 
     def restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -315,13 +323,13 @@ def spoiled_values(values: DataFrame) -> DataFrame:
                 for fix in fixes:
                     text = text.replace(fix["word"], fix["restored"])
                 out.append(text)
-            yield pd.DataFrame({"value": pdf.value, "restored": out})
+            yield pd.DataFrame({"value": pdf.value, "restored": out, "probability": pdf.probability})
 
-    return grouped.mapInPandas(restore, "value string, restored string")
+    return grouped.mapInPandas(restore, "value string, restored string, probability double")
 
 
 def spoiled_rows(columns: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """(table_name, rec_id, restored) of spoiled fields. columns: (table's name, table, its key, its text column).
+    """(table_name, rec_id, restored, probability) of spoiled fields. columns: (table's name, table, its key, its text column).
 
     All columns share one set of word frequencies. Rows with repeated values each count.
     """
@@ -332,4 +340,4 @@ def spoiled_rows(columns: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         values, rows = values.unionByName(c), rows.unionByName(f)
     values = values.groupBy("value").agg(F.sum("n").alias("n"))
     bad = maybe_broadcast(cut_lineage(spoiled_values(values)), row_bytes=400)
-    return rows.filter(F.col("value").rlike(SUSPICIOUS)).join(bad, "value").select("table_name", "rec_id", "restored")
+    return rows.filter(F.col("value").rlike(SUSPICIOUS)).join(bad, "value").select("table_name", "rec_id", "restored", "probability")

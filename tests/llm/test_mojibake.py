@@ -39,7 +39,7 @@ def test_finds_and_restores(spark):
 def test_rows_of_columns(spark):
     a = spark.createDataFrame([(1, "erhÃ¶hen", "x"), (2, "erhÃ¶hen", "x"), (3, "erhöhen", "x"), (4, None, "x")], "id long, t string, value string")
     b = spark.createDataFrame([(1, "Windpark", "x")], "id long, t string, value string")
-    got = sorted(tuple(r) for r in spoiled_rows([("a", a, "id", "t"), ("b", b, "id", "t")]).collect())
+    got = sorted(tuple(r)[:3] for r in spoiled_rows([("a", a, "id", "t"), ("b", b, "id", "t")]).collect() if r.probability > 0.5)
     assert got == [("a", 1, "erhöhen"), ("a", 2, "erhöhen")]
     assert spoiled_rows([("a", a.limit(0), "id", "t"), ("b", b.limit(0), "id", "t")]).count() == 0
 
