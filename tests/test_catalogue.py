@@ -7,10 +7,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connection
 from conftest import SF
-from plantweave.plans import catalogue, problems
+from plantweave.plans import catalogue, problems, stages
 
-ALL = {**catalogue.QUERIES, **problems.QUERIES}
-SQL = {**catalogue.SQL, **problems.SQL}
+ALL = {**catalogue.QUERIES, **problems.QUERIES, **stages.QUERIES}
+SQL = {**catalogue.SQL, **problems.SQL, **stages.SQL}
 EMPTY = {"compose_members", "residual_selection"}
 
 
