@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from plantweave.functions.text import core_name, plain_name
 from plantweave.operators import lookup, shortlist
-from plantweave.operators.similarity import weighted
+from plantweave.operators.similarity import best_window, weighted
 from plantweave.plans import catalogue, pipeline
 from plantweave.session import table
 
@@ -72,3 +72,24 @@ def test_prompt_holds_the_whole_shortlist(spark):
     lines = {r.norm: r.prompt.count("\n") for r in catalogue.prompt_text(spark, SF).collect()}
     assert lines == {r.norm: r["count"] for r in listed}
     assert max(lines.values()) > 5
+
+
+def test_windows_cut_off_and_whole_ones_are_those_of_single_pairs():
+    rng = random.Random(2)
+    known = sorted({"".join(rng.choice("abcde ") for _ in range(rng.randint(4, 30))).strip() + "x" for _ in range(150)})
+    names = shortlist.Names(known)
+    for asked in ["abcdeabc", "ab cd ea bc de ab cd ea", "e", "dddd"]:
+        for rows in (np.flatnonzero(names.size > len(asked)), np.flatnonzero(names.size < len(asked))):
+            if len(rows):
+                got = np.maximum(names.ends(0, asked, rows), shortlist._windows(names.masks(asked), len(asked), names.plain[:, rows], names.size[rows]))
+                assert np.allclose(got, [best_window(asked, known[i]) for i in rows], atol=1e-9)
+
+
+def test_names_whose_score_their_words_tell_are_not_searched(monkeypatch):
+    known = [f"{c * 15}{i} 7" for c in "abcdefgh" for i in range(50)]
+    query = shortlist.Query("xyz 7", shortlist.Names(known))
+    searched = []
+    monkeypatch.setattr(shortlist.Names, "common", lambda self, at, text, rows: searched.extend(rows) or np.zeros(len(rows), "int64"))
+    got = shortlist._best(query, np.arange(len(known)), np.arange(len(known)), np.arange(len(known)), np.array([f"{i:03}" for i in range(len(known))]), 20)
+    assert got == [(f"{i:03}", weighted("xyz 7", known[i])) for i in range(20)]
+    assert not searched
