@@ -5,7 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from conftest import SF
 from plantweave.operators import edits
+from plantweave.plans import catalogue
 
 
 def _names(rng, n, most=4):
@@ -43,3 +45,11 @@ def test_best_variants_are_brute_force_in_partitions_too(spark):
     for partition in (edits.PARTITION, 70):
         got = edits.fewest_edits(queries, variants, 6, most=30, partition=partition).orderBy("query", "rank").collect()
         assert {q: [r.id for r in got if r["query"] == q] for q in want} == want
+
+
+def test_guard_and_list_rest_on_the_search_by_edits(spark, monkeypatch):
+    listed = spark.createDataFrame([("abc", "7", 1.0, 1), ("abc", "5", 0.5, 2), ("abcd", "8", 1.0, 1)], "query string, id string, score double, rank int")
+    monkeypatch.setattr(catalogue.edits, "fewest_edits", lambda queries, variants, k: listed)
+    got = sorted((r.norm, r.id, r.rejected) for r in catalogue.hallucination_guard(spark, SF).collect())
+    assert got == [("abc", None, True), ("abcd", "8", False)]
+    assert catalogue.fuzzy_topk_lev(spark, SF).count() == 3
