@@ -93,3 +93,9 @@ def test_names_whose_score_their_words_tell_are_not_searched(monkeypatch):
     got = shortlist._best(query, np.arange(len(known)), np.arange(len(known)), np.arange(len(known)), np.array([f"{i:03}" for i in range(len(known))]), 20)
     assert got == [(f"{i:03}", weighted("xyz 7", known[i])) for i in range(20)]
     assert not searched
+
+
+def test_bounds_hold_for_names_of_hundreds_of_letters():
+    known = ["x" * 300, "x" * 290 + " nord", "nord xx"]
+    query = shortlist.Query("x" * 280, shortlist.Names(known))
+    assert (query.bound >= [weighted(query.text, t) for t in known]).all()
