@@ -99,3 +99,25 @@ def test_bounds_hold_for_names_of_hundreds_of_letters():
     known = ["x" * 300, "x" * 290 + " nord", "nord xx"]
     query = shortlist.Query("x" * 280, shortlist.Names(known))
     assert (query.bound >= [weighted(query.text, t) for t in known]).all()
+
+
+def test_best_plants_are_brute_force_and_told_names_are_not_rated(monkeypatch):
+    rng = random.Random(6)
+    texts = sorted({" ".join(rng.choice(["abc", "nord", "7", "wp", "cabd", "x" * 66, "dabe", "be", "solarpark", "a" * 17]) for _ in range(rng.randint(1, 5))) for _ in range(260)}, key=len)
+    of = np.array([rng.randrange(len(texts)) for _ in range(500)])
+    number = np.sort(np.array([rng.randrange(200) for _ in of]))
+    number = np.unique(number, return_inverse=True)[1]
+    ids, fits = np.array([f"{n:03}" for n in number]), np.array([rng.random() < 0.7 for _ in of])
+    names, rated, rate = shortlist.Names(texts), [], shortlist.Query.rate
+    monkeypatch.setattr(shortlist.Query, "rate", lambda self, rows, least: rated.append(len(rows)) or rate(self, rows, least))
+    for asked in ["wp dabecabd", "nord", "abc abc", "7 solarpark nord", "e", "x" * 70, "zz 7"]:
+        score = {i: max(weighted(asked, texts[o]) for o, j, f in zip(of, ids, fits, strict=True) if f and i == j) for i in {*ids[fits]}}
+        want = sorted(score.items(), key=lambda p: (-p[1], p[0]))[:20]
+        got = shortlist._best(shortlist.Query(asked, names), np.flatnonzero(fits), of, number, ids, 20)
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+    rated.clear()
+    known = [f"{c * 15}{i} 7" for c in "abcdefgh" for i in range(50)]
+    every = np.arange(len(known))
+    shortlist._best(shortlist.Query("xyz 7", shortlist.Names(known)), every, every, every, np.array([f"{i:03}" for i in every]), 20)
+    assert sum(rated) == 0
