@@ -121,3 +121,14 @@ def test_best_plants_are_brute_force_and_told_names_are_not_rated(monkeypatch):
     every = np.arange(len(known))
     shortlist._best(shortlist.Query("xyz 7", shortlist.Names(known)), every, every, every, np.array([f"{i:03}" for i in every]), 20)
     assert sum(rated) == 0
+
+
+def test_ends_that_reach_least_are_those_of_all():
+    rng = random.Random(7)
+    known = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(4, 40))).strip() + "x" for _ in range(200)})
+    names = shortlist.Names(known)
+    for asked in ["abcdabcadbca", "ab cd ad bc ab"]:
+        for rows in (np.flatnonzero(names.size > len(asked)), np.flatnonzero(names.size < len(asked))):
+            every, some = names.ends(0, asked, rows), names.ends(0, asked, rows, 60.0)
+            assert (every >= 60).any() and (every < 60).any()
+            assert (some[every >= 60] == every[every >= 60]).all() and (some <= every).all()
