@@ -132,3 +132,53 @@ def test_ends_that_reach_least_are_those_of_all():
             every, some = names.ends(0, asked, rows), names.ends(0, asked, rows, 60.0)
             assert (every >= 60).any() and (every < 60).any()
             assert (some[every >= 60] == every[every >= 60]).all() and (some <= every).all()
+
+
+def _long_names(rng: random.Random, n: int) -> list[str]:
+    place = lambda: "".join(rng.choice(["dris", "vost", "et", "hagen", "liend", "vük", "niel", "ach"]) for _ in range(rng.randint(2, 4)))
+    return sorted({" ".join(rng.sample([rng.choice(["biogasanlage", "pumpspeicherwerk", "bga"]), place(), str(rng.randint(1, 9))], rng.randint(1, 3))) for _ in range(n)}, key=len)
+
+
+def test_letters_of_windows_bound_the_best_window():
+    rng = random.Random(8)
+    known = [t for t in _long_names(rng, 400) if len(t) >= 4]
+    names = shortlist.Names(known)
+    in_order = [" ".join(sorted(t.split())) for t in known]
+    for asked in ["drisvostliendniel", "hagen 3", "pumpspeicherwerk vükachliendnielhagen 7 z"]:
+        ordered = " ".join(sorted(asked.split()))
+        longer, shorter = np.flatnonzero(names.size > len(asked)), np.flatnonzero(names.size < len(asked))
+        for form, text, texts in ((0, asked, known), (1, ordered, in_order)):
+            for rows, bound in ((longer, lambda r, f=form, t=text: names.longer_windows(f, t, r)), (shorter, lambda r, t=text: names.shorter_windows(t, r))):
+                rows = rows[names.size[rows] <= shortlist.CUT * shortlist.CUTS]
+                if len(rows):
+                    want = np.array([best_window(text, texts[i]) for i in rows])
+                    assert (bound(rows) + 1e-3 >= want).all()
+
+
+def test_names_whose_windows_cannot_be_among_the_best_are_not_searched(monkeypatch):
+    rng = random.Random(9)
+    known = _long_names(rng, 3000)
+    every = np.arange(len(known))
+    searched, common = set(), shortlist.Names.common
+    monkeypatch.setattr(shortlist, "FEW", 0, raising=False)
+    monkeypatch.setattr(shortlist.Names, "common", lambda self, form, text, rows: searched.update(rows.tolist()) or common(self, form, text, rows))
+    for asked, most in (("drsvostlindniel", 800), ("zubzamgönd", 1_150)):
+        searched.clear()
+        got = shortlist._best(shortlist.Query(asked, shortlist.Names(known)), every, every, every, np.array([f"{i:04}" for i in every]), 20)
+        want = sorted(((f"{i:04}", weighted(asked, t)) for i, t in enumerate(known)), key=lambda p: (-p[1], p[0]))[:20]
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
+        assert len(searched) < most
+
+
+def test_one_name_asked_for_other_sizes_gets_its_own_best():
+    rng = random.Random(10)
+    known = _long_names(rng, 600)
+    every, ids = np.arange(len(known)), np.array([f"{i:03}" for i in range(len(known))])
+    for asked in ["drisvosthagen", "bga drisvosthagen"]:
+        query = shortlist.Query(asked, shortlist.Names(known))
+        for rows in (every, every[::7], every[3::29]):  # fewer plants fit from one to the next, so that lower scores count
+            got = shortlist._best(query, rows, every, every, ids, 20)
+            want = sorted(((ids[i], weighted(asked, known[i])) for i in rows), key=lambda p: (-p[1], p[0]))[:20]
+            assert [i for i, _ in got] == [i for i, _ in want]
+            assert np.allclose([s for _, s in got], [s for _, s in want], atol=1e-9)
